@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 STEP = 0x6D2B79F5
 MASK = 0xFFFFFFFF
 
@@ -18,12 +20,20 @@ def _times(a: Column, b: Column) -> Column:
 
 
 def bits(seed: Column, k: Column) -> Column:
-    """The k-th 32 bits (k from 1) of the generator that starts at seed."""
+    """The k-th 32 bits (k from 1) of the generator that starts at seed.
+
+    Each step is worked out once: nested plainly, the expression would double
+    with every use.
+    """
+    def first(t: Column) -> Column:
+        return _times(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1).cast("long")))
+
+    def second(x: Column) -> Column:
+        y = x + _times(x.bitwiseXOR(F.shiftrightunsigned(x, 7)), x.bitwiseOR(F.lit(61).cast("long")))
+        return x.bitwiseXOR(y.bitwiseAND(MASK))
+
     t = (seed.cast("long").bitwiseAND(MASK) + _times(k.cast("long").bitwiseAND(MASK), F.lit(STEP).cast("long"))).bitwiseAND(MASK)
-    x = _times(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1).cast("long")))
-    y = (x + _times(x.bitwiseXOR(F.shiftrightunsigned(x, 7)), x.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(MASK)
-    x = x.bitwiseXOR(y)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 14))
+    return let(let(let(t, first), second), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 14)))
 
 
 def draw(seed: Column, k: Column) -> Column:

@@ -18,6 +18,11 @@ STOPWORDS = [
 SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it in lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
@@ -46,9 +51,11 @@ def char_grams(norm: Column, n: int = 4) -> Column:
 
 def word_grams(norm: Column, n: int = 3) -> Column:
     """Distinct runs of n words; none for shorter texts."""
-    w = F.filter(F.split(norm, " "), lambda x: x != "")
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))
+    def grams(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return F.array_distinct(let(F.filter(F.split(norm, " "), lambda x: x != ""), grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -84,7 +91,8 @@ def first_json_block(content: Column) -> Column:
     """A fenced json block's content, else from the first brace to the last, else the text."""
     fenced = F.regexp_extract(content, r"(?is)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(content, r"(?s)(\{.*\})", 1)
-    return F.trim(F.when(F.length(F.trim(fenced)) > 0, fenced).when(F.length(braces) > 0, braces).otherwise(content))
+    block = F.when(F.length(F.trim(fenced)) > 0, fenced).when(F.length(braces) > 0, braces).otherwise(content)
+    return F.regexp_replace(block, r"^\s+|\s+$", "")
 
 
 def thinking(content: Column, *reasoning: Column) -> Column:

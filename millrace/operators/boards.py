@@ -32,16 +32,33 @@ def public_score(det: Column, following: Column) -> Column:
     return F.floor(F.lit(1000.0) * (det / 40) * (det / 40) * (following / 100) + 0.5) / 10
 
 
+RANGES = 1024
+
+
 def index_percentile(df: DataFrame, key: str, value: str, shares: dict[str, float], scale: int = 1000) -> DataFrame:
     """The value at place floor(n p) (from 0) of each key's sorted values, and the largest for p = 1.
 
-    Ranks come from sorted ranges, so no key's values are gathered into one array.
+    A histogram of equal ranges between a key's least and greatest value finds
+    the range that holds each place; only values of those ranges are put in
+    order, equal ones as one row, so a key with most of the rows stays spread.
     """
-    w = W.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = {k: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for k, p in shares.items()}
-    picks = [(F.floor(F.max(F.when(F.col("i") == i, F.col(value))) * scale + 0.5) / scale).alias(k) for k, i in at.items()]
-    return ranked.groupBy(key).agg(*picks)
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).cast("double").alias("v"))
+    ends = d.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    width = F.col("hi") - F.col("lo")
+    at = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("v") - F.col("lo")) / width * RANGES))).otherwise(0).cast("int")
+    placed = d.join(ends, key).withColumn("r", at)
+    hist = placed.groupBy(key, "r", "n").agg(F.count("*").alias("c"))
+    w = W.partitionBy(key).orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    names = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in shares.items()))
+    wanted = hist.select(key, "r", "n", "c", "before", F.inline(names)).withColumn("place", F.least(F.floor(F.col("n") * F.col("p")), F.col("n") - 1))
+    wanted = wanted.where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c"))).select(key, "r", "name", (F.col("place") - F.col("before")).alias("place"))
+    values = placed.join(wanted.select(key, "r").distinct(), [key, "r"], "left_semi").groupBy(key, "r", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(key, "r").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    values = values.withColumn("upto", upto)
+    hit = values.join(wanted, [key, "r"]).where((F.col("place") >= F.col("upto") - F.col("c")) & (F.col("place") < F.col("upto")))
+    picks = [(F.floor(F.max(F.when(F.col("name") == k, F.col("v"))) * scale + 0.5) / scale).alias(k) for k in shares]
+    return hit.groupBy(key).agg(*picks)
 
 
 def rates(accepted: DataFrame, rejected: DataFrame, key: str) -> DataFrame:

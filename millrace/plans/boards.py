@@ -96,7 +96,7 @@ def weak_cells(spark, d):
     return op.rates(o.where("o_orderstatus <> 'P'"), o.where("o_orderstatus = 'P'"), "o_custkey").where("rate < 0.9").orderBy("rate", "o_custkey").limit(20)
 
 
-@query(R + """SELECT model, event_id, score, CAST(row_number() OVER w AS INTEGER) AS place FROM runs WHERE NOT error AND score < 80 QUALIFY row_number() OVER w <= 4 WINDOW w AS (PARTITION BY model ORDER BY score, event_id)""")
+@query(R + """SELECT model, event_id, score, CAST(row_number() OVER w AS INTEGER) AS place FROM runs WHERE NOT error AND score < 80 WINDOW w AS (PARTITION BY model ORDER BY score, event_id) QUALIFY row_number() OVER w <= 4""")
 def top4_failures(spark, d):
     r = runs(spark, d).where("not error and score < 80").select("model", "event_id", "score")
     return op.worst(r, "model", [F.col("score"), F.col("event_id")], 4)
