@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import out_batch, text_batches
-from .toxicity import train_sample
+from .toxicity import fit_logistic, train_sample
 
 MAX_TRAIN = 12_000
 DICT_BYTES = 6 << 20
@@ -90,18 +90,6 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, np.maximum(0, 0.3 - x[:, 2])])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    keep[0] = 1e-6
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def dictionary(texts: list[str], limit: int = DICT_BYTES) -> bytes:
     """A zstandard dictionary of the texts' blocks, at most ``limit`` bytes of them."""
     import zstandard as zs
@@ -149,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "qualit
     xy = sample.mapInArrow(weigh, "y int, x array<double>").collect()
     x, y = np.array([r["x"] for r in xy]).reshape(len(xy), 3), np.array([r["y"] for r in xy], float)
     if len(xy) and 0 < y.sum() < len(y):
-        model.weights = tuple(fit(design(x), y).tolist())
+        model.weights = tuple(fit_logistic(design(x), y).tolist())
     return model
 
 

@@ -1,10 +1,10 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Tokens of a word are the word itself and its prefixes of 6, 5 and 4 letters.
-For each token the log-odds of toxic against clean labelled text is estimated
-with an informative Dirichlet prior (the tokens' shares in both classes
-together); tokens whose z-score is high enough and positive keep their
-log-odds.  A word scores the log-odds of its longest kept token; all other
+Tokens of a word are the word itself and its prefixes of 8 to 4 letters, each
+counted once a text.  For each token the log-odds of toxic against clean
+labelled text is estimated with an informative Dirichlet prior (the tokens'
+shares in both classes together); tokens whose log-odds and z-score are high
+enough keep their log-odds.  A word scores the log-odds of its longest kept token; all other
 words share one slightly negative value, so chance sequences drift down.
 
 A linear scan finds every maximal scoring segment of a text (a stack of
@@ -38,9 +38,14 @@ from pyspark.sql import functions as F
 from .common import out_batch, text_batches
 
 MAX_TRAIN = 20_000
-PREFIXES = (6, 5, 4)
-PRIOR = 500.0
-MIN_COUNT, MIN_Z, MAX_TOKENS = 4, 3.0, 50_000
+PREFIXES = (8, 7, 6, 5, 4)
+#: The prior's weight, as a share of all words counted.
+PRIOR_SHARE = 0.01
+#: A larger prior for the z-score that tokens are chosen by, so that rare ones must earn it.
+CHOICE_SHARE = 0.1
+MIN_COUNT, MIN_Z, MIN_ODDS, MAX_TOKENS = 4, 2.5, 3.0, 50_000
+#: Least log K: with few clean texts that hold any token, nothing lower can be told.
+MIN_LOG_K = -1.0
 MAX_E = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,9 +59,10 @@ def tokens_of(word: str) -> list[str]:
     return [word + "."] + [word[:n] for n in PREFIXES if len(word) >= n]
 
 
-def log_odds(y1: int, y0: int, n1: int, n0: int, prior: float = PRIOR) -> tuple[float, float]:
+def log_odds(y1: int, y0: int, n1: int, n0: int, share: float = PRIOR_SHARE) -> tuple[float, float]:
     """Log-odds of a token between classes with the Dirichlet prior, and its z-score."""
-    a = prior * (y1 + y0) / (n1 + n0)
+    prior = share * (n1 + n0)
+    a = share * (y1 + y0)
     d = math.log((y1 + a) / max(n1 + prior - y1 - a, 1e-9)) - math.log((y0 + a) / max(n0 + prior - y0 - a, 1e-9))
     return d, d / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
 
@@ -130,17 +136,28 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Bias and weight of a one-feature logistic fit (Newton steps, ridge on the weight)."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w, keep = np.zeros(2), np.array([1e-6, ridge])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (y - p) - keep * w)
-        w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic fit on the columns of x (the first is the bias): Newton steps, halved until they help."""
+    keep = np.full(x.shape[1], ridge)
+    keep[0] = 1e-6
+
+    def loss(w):
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (keep * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9), x.T @ (y - p) - keep * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, abs(before)):
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def karlin(probs: np.ndarray, scores: np.ndarray) -> float:
@@ -181,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic"
         for b in batches:
             got: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words_of(text)
-                got[y].update(Counter(t for x in w for t in tokens_of(x)))
+                w = set(words_of(text))
+                got[y].update({t for x in w for t in tokens_of(x)})
                 got[y][""] += len(w)
             keys = list(got[0].keys() | got[1].keys())
             yield out_batch(schema, token=keys, y1=[got[1][k] for k in keys], y0=[got[0][k] for k in keys])
@@ -191,15 +208,19 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic"
     counted = counted.where(F.col("y1") >= MIN_COUNT).checkpoint()
     n1, n0 = counted.where("token = ''").select("y1", "y0").first() or (0, 0)
     # the columns' log-odds, as in log_odds()
-    a = F.lit(PRIOR) * (F.col("y1") + F.col("y0")) / F.lit(float(n1 + n0 or 1))
-    d = F.log((F.col("y1") + a) / (n1 + PRIOR - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + PRIOR - F.col("y0") - a))
-    z = d / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    rows = counted.where("token <> ''").select("token", "y1", "y0", d.alias("d"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("d") > 1)).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
+    def odds_and_z(share: float) -> tuple[Column, Column]:
+        prior, a = share * (n1 + n0), share * (F.col("y1") + F.col("y0"))
+        d = F.log((F.col("y1") + a) / (n1 + prior - F.col("y1") - a)) - F.log((F.col("y0") + a) / (n0 + prior - F.col("y0") - a))
+        return d, d / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
+
+    prior, d, z = PRIOR_SHARE * (n1 + n0), odds_and_z(PRIOR_SHARE)[0], odds_and_z(CHOICE_SHARE)[1]
+    rows = counted.where("token <> ''").select("token", "y1", "y0", d.alias("d"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("d") >= MIN_ODDS)).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
     model = Model({r["token"]: r["d"] for r in rows})
     whole = [r for r in rows if not any(p in model.odds for p in tokens_of(r["token"].rstrip("."))[1:] if p != r["token"])]  # each word once
     p1, p0 = (min(0.9, sum(r[y] for r in whole) / max(1, m)) for y, m in (("y1", n1), ("y0", n0)))
     model.other = min(-0.005, math.log((1 - p1) / (1 - p0)))
-    probs = np.array([r["y0"] / max(1, n0) for r in whole] + [1 - p0])
+    probs = np.array([(r["y0"] + PRIOR_SHARE * (r["y1"] + r["y0"])) / (n0 + prior) for r in whole])
+    probs = np.append(probs, max(0.1, 1 - probs.sum()))
     model.lam = min(4.0, karlin(probs, np.array([r["d"] for r in whole] + [model.other])))
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -214,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic"
     clean = [r["best"] for r in sample.mapInArrow(best, "y int, best double").where("y = 0").collect()]
     quant = 0.98
     tops = sorted(x if x is not None else -20.0 for x in clean)
-    model.log_k = max(-20.0, tops[min(len(tops) - 1, int(quant * len(tops)))] + math.log(-math.log(quant)))
+    model.log_k = max(MIN_LOG_K, tops[min(len(tops) - 1, int(quant * len(tops)))] + math.log(-math.log(quant)))
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches):
@@ -223,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic"
             yield out_batch(schema, y=b.column(1).cast(pa.int32()), x=[sent.value.evidence(t) for t in texts])
 
     xy = sample.mapInArrow(weigh, "y int, x double").collect()
-    model.bias, model.weight = fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], float))
+    x = np.array([r["x"] for r in xy])
+    model.bias, model.weight = map(float, fit_logistic(np.column_stack([np.ones(len(x)), x]), np.array([r["y"] for r in xy], float)))
     return model
 
 
