@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import open_fs, out_batch
+from .common import open_fs, out_batch, shared_dir
 
 MIN_BYTES = 1000
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 18
+BROADCAST_GROUPS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
@@ -55,31 +56,35 @@ def record(page_id: int | None, url: str, payload: bytes | None, digest: str, le
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Every page with its digest and, for a revisit, the page it refers to."""
+    """Every page with ``payload_bytes``, ``digest``, ``revisit`` and, for a revisit, ``best_id``.
+
+    Groups of equal payloads are found on digests alone.  The table of groups
+    with more than one row is sent to all tasks if it has at most
+    ``BROADCAST_GROUPS`` rows, so html stays where it was read; a larger one is
+    joined by a shuffle, which splits skewed digests.
+    """
+    spark = pages.sparkSession
+    shared_dir(spark)
     html = F.coalesce("html", F.lit(""))
-    p = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"))
-    rank = F.struct(F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.xxhash64("page_id", "url").alias("h"))
-    best = p.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.max(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "payload_bytes", F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"))
-    j = p.join(best, ["digest", "payload_bytes"], "left")
-    first = F.col("best_id").eqNullSafe(F.col("page_id")) & F.col("best_url").eqNullSafe(F.coalesce("url", F.lit("")))
-    return j.withColumn("revisit", F.col("best_url").isNotNull() & ~first)
-
-
-def one_response(planned: DataFrame) -> DataFrame:
-    """Of rows equal in page, url and payload, all but one revisit it (such rows only are ranked)."""
-    key = ["page_id", "url", "digest"]
-    twice = planned.where(F.col("best_url").isNotNull() & ~F.col("revisit")).groupBy(*key).count().where("count > 1").select(*(F.col(k).alias(f"k_{k}") for k in key))
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    marked = planned.join(twice, same, "left").withColumn("tied", F.col("k_digest").isNotNull() & ~F.col("revisit")).drop("k_page_id", "k_url", "k_digest")
-    w = W.partitionBy(*key, "tied").orderBy(F.lit(1))
-    tied = marked.where("tied").withColumn("revisit", F.row_number().over(w) > 1)
-    return marked.where("not tied").unionByName(tied).drop("tied")
-
-
-def write_warc(pages: DataFrame, out_uri: str, min_bytes: int = MIN_BYTES, unique_pages: bool = False) -> list[tuple[str, int]]:
-    """Write the archives; (file, bytes) of each. ``unique_pages`` spares the check for rows equal in page, url and html."""
+    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"))
+    same = ["digest", "payload_bytes"]
+    rows = p.where(F.col("payload_bytes") >= min_bytes).groupBy(*same, "page_id", "url").agg(F.count("*").alias("n"))
+    best = rows.groupBy(*same).agg(F.max(F.struct("page_id", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1")
+    best = best.select(*same, F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"), (F.col("best.n") > 1).alias("tied")).checkpoint()
+    few = best.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    j = p.join(F.broadcast(best) if few else best, same, "left")
+    first = F.col("best_id").eqNullSafe(F.col("page_id")) & (F.col("best_url") == F.col("url"))
+    j = j.withColumn("revisit", F.col("best_url").isNotNull() & ~first).withColumn("tied", F.coalesce(F.col("tied") & first, F.lit(False)))
+    if best.where("tied").limit(1).count() == 0:
+        return j.drop("best_url", "tied")
+    # of rows equal in page, url and payload one is the response; only such rows are numbered
+    w = W.partitionBy(*same, "page_id", "url").orderBy(F.lit(1))
+    tied = j.where("tied").withColumn("revisit", F.row_number().over(w) > 1)
+    return j.where("not tied").unionByName(tied).drop("best_url", "tied")
+
+
+def write_warc(pages: DataFrame, out_uri: str, min_bytes: int = MIN_BYTES) -> list[tuple[str, int]]:
+    """Write the archives; (file, bytes) of each."""
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64())])
 
     def run(batches):
@@ -99,9 +104,7 @@ def write_warc(pages: DataFrame, out_uri: str, min_bytes: int = MIN_BYTES, uniqu
             fs.move(f"{base}/{name}.part", f"{base}/{name}")
             yield out_batch(schema, file=[name], bytes=[size])
 
-    planned = plan_records(pages, min_bytes)
-    planned = planned if unique_pages else one_response(planned)
-    sent = planned.select("page_id", "url", F.expr("if(revisit, '', html)").alias("html"), "payload_bytes", "digest", "best_id", "revisit")
+    sent = plan_records(pages, min_bytes).select("page_id", "url", F.expr("if(revisit, '', html)").alias("html"), "payload_bytes", "digest", "best_id", "revisit")
     return sorted((r["file"], r["bytes"]) for r in sent.mapInArrow(run, "file string, bytes long").collect())
 
 

@@ -42,7 +42,7 @@ def want(rs):
 def test_round_trip(spark, tmp_path, split):
     df = spark.createDataFrame(rows(), "page_id long, url string, html string, digest string").repartition(3)
     files = warc.write_warc(df, str(tmp_path))
-    assert len(files) == 3 and all(os.path.getsize(tmp_path / f) == n for f, n in files)
+    assert len(files) >= 3 and all(os.path.getsize(tmp_path / f) == n for f, n in files)
     got = warc.read_warc(spark, str(tmp_path), files, split, with_html=True).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == want(rows())
     whole = {r[0]: r[2] for r in rows()}
