@@ -18,7 +18,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 no part, nor do rows without ``vec_id``; shorter vectors count as padded with
 zeros; rows that share the query's ``vec_id`` are its own and no candidates;
 of equal scores the smaller ``vec_id`` ranks first; fewer than k candidates give
-all; repeated query rows each get their ranks; an empty table gives no rows.
+all; scores beyond a long are held at its ends; repeated query rows each get their ranks; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ def slow(url, rules, default):
     for i, (verdict, rule) in enumerate(rules):
         rhost, slash, rpath = rule.partition("/")
         if (host == rhost or host.endswith("." + rhost) or rhost == "") and path.startswith(slash + rpath):
-            best = max(best or (), (len(rhost), len(rpath), i, rule, verdict))
+            best = max(best or (), (len(rhost), len(slash + rpath), i, rule, verdict))
     return (host, path, best[3], best[4]) if best else (host, path, None, default)
 
 
