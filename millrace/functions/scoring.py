@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import grading_norm, js_round
+from .text import grading_norm, js_round, let
 
 
 def amount_matches(got: Column, want: Column) -> Column:
@@ -45,7 +45,7 @@ def greedy(got: Column, want: Column, matches=entry_matches) -> Column:
 
     def take(acc: Column, w: Column) -> Column:
         at = F.array_position(F.transform(acc["rest"], lambda g: F.coalesce(matches(g, w), F.lit(False))), True).cast("int")
-        return F.struct(without(acc["rest"], at).alias("rest"), (acc["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"))
+        return let(at, lambda i: F.struct(without(acc["rest"], i).alias("rest"), (acc["n"] + F.when(i > 0, 1).otherwise(0)).alias("n")))
 
     start = F.struct(got.alias("rest"), F.lit(0).alias("n"))
     return F.aggregate(want, start, take, lambda a: F.struct(a["n"].alias("matched"), F.size(a["rest"]).alias("extra")))
@@ -68,16 +68,21 @@ def best_credit(got: Column, want: Column) -> Column:
     """
 
     def take(acc: Column, w: Column) -> Column:
-        credit = F.transform(acc["rest"], lambda g: partial_credit(g, w))
-        top = F.array_max(credit)
-        at = F.when(F.coalesce(top, F.lit(0)) >= 40, F.array_position(credit, top)).otherwise(0).cast("int")
-        g = F.get(acc["rest"], at - 1)
-        near = F.least(g["jumlah"], w["jumlah"]) * 10 >= F.greatest(g["jumlah"], w["jumlah"], F.lit(1)) * 9
-        amount = F.when(amount_in_range(g, w), 100).when(near, 70).otherwise(20)
-        date = F.when(w["tanggal_hint"].isNull() | g["tanggal_hint"].eqNullSafe(w["tanggal_hint"]), 100).when(g["tanggal_hint"].eqNullSafe(F.lit("tidak_jelas")), 60).otherwise(0)
-        flag = F.when(~F.coalesce(w["ambigu"], F.lit(False)) | F.coalesce(g["ambigu"], F.lit(False)), 100).otherwise(40)
-        add = lambda name, points: (acc[name] + F.when(at > 0, points).otherwise(0)).alias(name)
-        return F.struct(without(acc["rest"], at).alias("rest"), add("amount", amount), add("type", F.when(g["type"] == w["type"], 100).otherwise(0)), add("date", date), add("ambigu", flag))
+        def place(credit: Column) -> Column:
+            top = F.array_max(credit)
+            return F.when(F.coalesce(top, F.lit(0)) >= 40, F.array_position(credit, top)).otherwise(0).cast("int")
+
+        def gain(at: Column, g: Column) -> Column:
+            near = F.least(g["jumlah"], w["jumlah"]) * 10 >= F.greatest(g["jumlah"], w["jumlah"], F.lit(1)) * 9
+            amount = F.when(amount_in_range(g, w), 100).when(near, 70).otherwise(20)
+            date = F.when(w["tanggal_hint"].isNull() | g["tanggal_hint"].eqNullSafe(w["tanggal_hint"]), 100).when(g["tanggal_hint"].eqNullSafe(F.lit("tidak_jelas")), 60).otherwise(0)
+            flag = F.when(~F.coalesce(w["ambigu"], F.lit(False)) | F.coalesce(g["ambigu"], F.lit(False)), 100).otherwise(40)
+            add = lambda name, points: (acc[name] + F.when(at > 0, points).otherwise(0)).alias(name)
+            return F.struct(without(acc["rest"], at).alias("rest"), add("amount", amount), add("type", F.when(g["type"] == w["type"], 100).otherwise(0)), add("date", date), add("ambigu", flag))
+
+        # each step is worked out once, however often the next one uses it
+        at = let(F.transform(acc["rest"], lambda g: partial_credit(g, w)), place)
+        return let(at, lambda i: let(F.get(acc["rest"], i - 1), lambda g: gain(i, g)))
 
     start = F.struct(got.alias("rest"), *(F.lit(0).alias(n) for n in ("amount", "type", "date", "ambigu")))
     n = F.greatest(F.size(want), F.lit(1))
