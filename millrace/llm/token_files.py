@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,8 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 WORD = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
+#: Spaces to every regular-expression library, and stretches encoded in one run.
+CUT, RUN = " \n\t\r", 512
 
 
 class WordCache:
@@ -131,8 +134,8 @@ class WordCache:
 
     A text is cut where a space follows a non-space: the byte-level pattern
     always begins a match there, so the stretches' ids in order are the text's.
-    Stretches met before are looked up, the others go to the library in one
-    batch. ``limit`` bounds the entries; beyond it nothing more is kept.
+    Stretches met before are looked up; the others go to the library, many in
+    one run, whose ids are dealt out again by the bytes they stand for. ``limit`` bounds the entries; beyond it nothing more is kept.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS, whole: bool = False):
@@ -141,19 +144,37 @@ class WordCache:
         self.tok, self.limit, self.whole, self.known = Tokenizer.from_file(path), limit, whole, {}
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
+        # a byte-level token has one character for each byte it stands for
+        self.bytes_of = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():
+            self.bytes_of[i] = len(token)
+
     def raw(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each part, each encoded on its own."""
         return [np.array(e.ids, self.width).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def together(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each part, encoded in one run; each begins with a space and ends with a non-space."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, self.width)
+        through = self.bytes_of[ids].cumsum()
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+        at = np.searchsorted(through, ends)
+        if len(through) == 0 or at[-1] >= len(through) or (through[at] != ends).any():
+            return self.raw(parts)  # a part's end inside a token: never where the pattern splits
+        data, cuts = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
+        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if self.whole:
             return self.raw(texts)
         known, cut = self.known, [[t] if ODD.search(t) else WORD.findall(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in known})
+        new = set(chain.from_iterable(cut)).difference(known)
+        odd = [p for p in new if p[0] not in CUT or p[-1].isspace() or ODD.search(p)]
+        firm = list(new.difference(odd))
         extra = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, ids in zip(some, self.raw(some)):
+        for run, some in [(self.together, firm[i : i + RUN]) for i in range(0, len(firm), RUN)] + [(self.raw, odd[i : i + RUN]) for i in range(0, len(odd), RUN)]:
+            for p, ids in zip(some, run(some)):
                 (known if len(known) < self.limit and len(p) < 64 else extra)[p] = ids
         if extra:
             return [b"".join([known[p] if p in known else extra[p] for p in parts]) for parts in cut]
