@@ -75,7 +75,7 @@ def unknown_keys(json: Column) -> Column:
 
 def strict_issues(label: Column, allow_duplicates: Column | bool = False) -> Column:
     """Names of the rules a label breaks, in order; empty if it is clean."""
-    e = label["entries"]
+    e, allowed = label["entries"], F.lit(allow_duplicates)
     any_ = lambda f: F.exists(e, lambda x: F.coalesce(f(x), F.lit(False)))
     blank = lambda s: F.coalesce(s, F.lit("")) == ""
     words = lambda s: F.size(F.split(F.trim(s), r"\s+"))
@@ -88,7 +88,7 @@ def strict_issues(label: Column, allow_duplicates: Column | bool = False) -> Col
         ("empty_text", any_(lambda x: F.trim(x["deskripsi"]) == "")),
         ("long_text", any_(lambda x: words(x["deskripsi"]) > MAX_WORDS)),
         ("future", any_(lambda x: x["tanggal_hint"] == "lusa")),
-        ("duplicate", ~F.lit(allow_duplicates) & (F.size(e) != F.size(F.array_distinct(F.transform(e, lambda x: F.to_json(x))))) if isinstance(allow_duplicates, bool) else ~allow_duplicates & (F.size(e) != F.size(F.array_distinct(F.transform(e, lambda x: F.to_json(x)))))),
+        ("duplicate", ~allowed & (F.size(e) != F.size(F.array_distinct(F.transform(e, lambda x: F.to_json(x)))))),
     ]
     return F.array_compact(F.array(*(F.when(cond, name) for name, cond in rules)))
 

@@ -102,3 +102,9 @@ def numeric_parse(spark, d):
     c = chats(spark, d).where("v < 1000000")
     as_k = F.regexp_replace(fn.render(F.col("v"), "k_suffix"), "k$", "")
     return c.select("o_orderkey", "v", fn.number(fn.dotted(F.col("v")))[0].alias("direct"), fn.number(as_k)[0].alias("decimal_comma"))
+
+
+@query(CHATS + """, a AS (SELECT v AS value FROM s WHERE v >= 100 OR kind IN ('rp', 'suffix') UNION SELECT 10000 FROM s WHERE o_orderkey % 3 = 0 UNION SELECT 50000 FROM s WHERE o_orderkey % 3 <> 0) SELECT value FROM a""")
+def corpus_amounts(spark, d):
+    """Distinct amounts named anywhere in a corpus."""
+    return chats(spark, d).select(F.explode(F.transform(fn.amount_atoms(F.col("text")), lambda a: a["value"])).alias("value")).distinct()

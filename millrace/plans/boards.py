@@ -165,3 +165,10 @@ def judge_rollup(spark, d):
 @query("""SELECT doc_id, sha256(text) AS text_sha256 FROM documents""")
 def provenance(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(R + """SELECT scenario, model, event_id, score, score >= 60 AND NOT error AS passed FROM runs WHERE NOT (score >= 60 AND NOT error) AND model = 3""")
+def viewer_failures(spark, d):
+    """A viewer's failed rows of one model."""
+    ok = (F.col("score") >= 60) & ~F.col("error")
+    return runs(spark, d).where("model = 3").withColumn("passed", ok).where("not passed").select("scenario", "model", "event_id", "score", "passed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import labels as fn
-from millrace.functions import text
+from millrace.functions import amounts, spec, text
 from millrace.operators import batches as op
 from millrace.plans.registry import query
 from millrace.sources.tables import table
@@ -108,3 +108,47 @@ def agreement(spark, d):
     alternatives = F.array(wanted, F.concat(wanted, wanted))
     diffs = fn.agreement(F.col("label"), F.lit(False), alternatives, F.array(F.lit(-1).cast("long")))
     return j.select("l_orderkey", F.array_join(diffs, ",").alias("diffs"))
+
+
+def generated(spark, d):
+    """One generated row per order: a text, its cell's invariants and a label, each broken in its own way."""
+    k, v = F.col("o_orderkey") % 8, (F.floor(F.col("o_totalprice") / 1000) * 1000 + 1000).cast("long")
+    none = {n: F.lit(None) for n in ("rupiah", "hint", "applies_to", "at_least", "unit", "count", "total", "masuk")}
+    inv = lambda kind, **over: F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in (none | over).items())).cast(spec.INVARIANT)
+    qty = F.array(inv("qty_merge_ok", unit=F.col("v"), count=F.lit(3)))
+    plain = F.array(inv("amount_present", rupiah=F.col("v")), inv("date_hint", hint=F.lit("kemarin"), applies_to=F.lit("all")))
+    gross = F.concat(plain, F.array(inv("amount_absent", rupiah=F.lit(700).cast("long"))))
+    entry = lambda n: F.struct(F.lit("pengeluaran").alias("type"), F.when(F.col("k") == 6, "hari_ini").otherwise("kemarin").alias("tanggal_hint"), F.lit("kopi").alias("deskripsi"), n.cast("long").alias("jumlah"), F.lit(None).cast("string").alias("kategori"), F.lit(None).cast("string").alias("vendor"), F.lit("low").alias("confidence"), F.lit(False).alias("ambigu"), F.lit(None).cast("string").alias("catatan_ambigu"))
+    o = table(spark, d, "orders").select("o_orderkey", k.alias("k"), v.alias("v"))
+    said = F.when(F.col("k") == 1, F.concat(F.lit("kopi "), F.col("v") + 1)).when(F.col("k") == 2, F.concat(F.lit("kopi 12.500 rb"))).when(F.col("k") == 5, F.concat(F.lit("kopi "), F.col("v"), F.lit(" jeruk 700"))).otherwise(F.concat(F.lit("kopi "), F.col("v")))
+    entries = F.when(F.col("k") == 3, F.array(entry(F.col("v")), entry(F.col("v")))).when(F.col("k") == 4, F.array(entry(F.col("v") * 100 + 7))).when(F.col("k") == 7, F.array(entry(F.col("v") * 3))).otherwise(F.array(entry(F.col("v"))))
+    return o.select("o_orderkey", said.alias("text"), F.when(F.col("k") == 7, qty).when(F.col("k") == 5, gross).otherwise(plain).alias("inv"), F.array(F.when(F.col("k") == 2, 12_500_000).otherwise(F.col("v")).cast("long")).alias("surfaces"), F.struct(entries.alias("entries"), F.lit(False).alias("bukan_transaksi"), F.lit(None).cast("string").alias("ringkasan")).alias("label"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'text:bijection' WHEN 2 THEN 'text:ambiguous-amount' WHEN 3 THEN 'label:schema' WHEN 4 THEN 'label:trace' WHEN 6 THEN 'agreement' END AS phase FROM orders""")
+def validate_rows(spark, d):
+    """The first gate each generated row fails."""
+    g = generated(spark, d).withColumn("atoms", amounts.amount_atoms(F.col("text")))
+    return g.select("o_orderkey", spec.row_phase(F.col("text"), F.col("atoms"), F.col("label"), F.col("inv"), F.col("surfaces"), F.lit("out")).alias("phase"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(floor(o_totalprice / 1000) * 1000 + 1000 AS BIGINT) AS v FROM orders)
+SELECT o_orderkey, CASE WHEN k = 7 THEN v || '+' || v || '+' || v || '|' || v * 3 ELSE v::VARCHAR END AS alternatives, concat_ws(',', CASE WHEN k = 5 THEN '700' END, CASE WHEN k = 2 AND v <> 12500000 THEN '12500000' END, CASE WHEN k = 7 THEN v::VARCHAR END) AS excused, CASE WHEN k = 7 THEN (v * 3)::VARCHAR ELSE '' END AS traceable FROM o""")
+def cell_expectations(spark, d):
+    """What labels may hold, and which amounts are excused or right without being named."""
+    g, out = generated(spark, d), F.lit("out")
+    flat = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    alts = F.transform(spec.alternatives(F.col("inv"), out), lambda a: F.array_join(F.transform(a, lambda e: e["jumlah"].cast("string")), "+"))
+    return g.select("o_orderkey", F.array_join(alts, "|").alias("alternatives"), flat(spec.excused(F.col("surfaces"), F.col("inv"), out)).alias("excused"), flat(spec.traceable(F.col("inv"), out)).alias("traceable"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, count(*) AS n, min(l_partkey) AS part FROM lineitem WHERE l_linenumber % 3 = 1 GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n IS NULL THEN 'batch:missing' WHEN n > 1 THEN 'batch:duplicate' WHEN part < 10 THEN 'batch:text-schema' END AS phase, CASE WHEN n = 1 AND part >= 10 THEN part || ' x' END AS text FROM orders LEFT JOIN s ON l_orderkey = o_orderkey""")
+def batch_salvage(spark, d):
+    """Answers matched by id and cleaned; what can't be used carries its phase."""
+    li = table(spark, d, "lineitem").where("l_linenumber % 3 = 1")
+    said = li.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_partkey") < 10, "``x``").otherwise(F.concat(F.lit(' "'), F.col("l_partkey").cast("string"), F.lit(' x"\nmore'))).alias("raw"))
+    one = said.groupBy("o_orderkey").agg(F.min("raw").alias("raw"))
+    j = op.reconcile_ids(table(spark, d, "orders"), said, "o_orderkey").join(one, "o_orderkey", "left")
+    clean = F.when(F.col("phase") == "ok", text.batch_text(F.col("raw")))
+    return j.select("o_orderkey", F.when(F.col("phase") != "ok", F.col("phase")).when(clean.isNull(), "batch:text-schema").alias("phase"), clean.alias("text"))

@@ -119,3 +119,38 @@ def file_kind(path: Column) -> Column:
 
 def answer_block(content: Column) -> Column:
     return F.try_parse_json(first_json_block(content))
+
+
+def present_files(spark: SparkSession, folder: str, min_bytes: int = 1) -> DataFrame:
+    """path and length of a folder's files of at least so many bytes (contents are not read)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return f.where(F.col("length") >= min_bytes)
+
+
+def receipts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per receipt of a manifest: file, vendor, total, tanggal and items."""
+    m = spark.read.schema("receipts array<struct<file:string,path:string,vendor:string,total:bigint,tanggal:string,items:array<struct<name:string,jumlah:bigint>>>>").json(path, multiLine=True)
+    return m.select(F.inline("receipts"))
+
+
+def match_receipts(images: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Each image with its receipt: by file name, else by a vendor named in the path (the first in order of file).
+
+    By file name it is an equi-join; vendors are looked up only for images left over.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    i = images.withColumn("_name", name)
+    r = manifest.select(F.lower("file").alias("_file"), F.lower(F.element_at(F.split("vendor", " "), 1)).alias("_vendor"), "vendor", "total")
+    exact = i.join(r, i["_name"] == r["_file"])
+    rest = i.join(r, i["_name"] == r["_file"], "left_anti")
+    words = rest.withColumn("_word", F.explode(F.array_distinct(F.split("_name", "[^a-z0-9]+"))))
+    by_vendor = words.join(r, words["_word"] == r["_vendor"]).groupBy("path").agg(F.min(F.struct("_file", "vendor", "total")).alias("r")).select("path", "r.vendor", "r.total")
+    return exact.select("path", "vendor", "total").unionByName(by_vendor)
+
+
+def statement_lines(texts: DataFrame) -> DataFrame:
+    """path, tanggal, deskripsi and jumlah of the lines ``DD/MM description Rp n`` of statement texts."""
+    line = texts.select("path", F.explode(F.split("value", "\n")).alias("line"))
+    pattern = r"^\s*(\d{2}/\d{2})\s+(.*?)\s+Rp\.?\s*([\d.,]+)\s*$"
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    return line.where(F.col("line").rlike(pattern)).select("path", part(1).alias("tanggal"), part(2).alias("deskripsi"), F.replace(F.replace(part(3), F.lit(".")), F.lit(",")).cast("long").alias("jumlah"))

@@ -288,6 +288,20 @@ def test_files(spark, tmp_path):
     assert [r["k"] for r in kinds] == ["image", "csv", "pdf", "file"]
 
 
+def test_receipts_and_statements(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"receipts": [{"file": "a.png", "path": "x/a.png", "vendor": "Warung Bu Sri", "total": 85000, "tanggal": "2026-07-01", "items": [{"name": "soto", "jumlah": 85000}]},\n {"file": "b.png", "vendor": "Toko Jaya", "total": 5000, "tanggal": null, "items": []}]}')
+    r = files.receipts(spark, str(tmp_path / "m.json"))
+    assert r.count() == 2
+    images = spark.createDataFrame([("in/A.PNG",), ("in/struk-toko-02.jpg",), ("in/other.jpg",)], "path string")
+    assert sorted(map(tuple, files.match_receipts(images, r).collect())) == [("in/A.PNG", "Warung Bu Sri", 85000), ("in/struk-toko-02.jpg", "Toko Jaya", 5000)]
+    text = spark.createDataFrame([("p", "Bank\n01/07 Gaji bulan Rp 4.500.000\n 02/07 kopi Rp12.000 \nsaldo Rp 1")], "path string, value string")
+    assert sorted(tuple(x)[1:] for x in files.statement_lines(text).collect()) == [("01/07", "Gaji bulan", 4500000), ("02/07", "kopi", 12000)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "big").write_text("xxxx")
+    (tmp_path / "d" / "small").write_text("")
+    assert [x["path"].rsplit("/", 1)[1] for x in files.present_files(spark, str(tmp_path / "d"), 2).collect()] == ["big"]
+
+
 def test_streams(spark, tmp_path):
     from millrace.streaming import log
 
