@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import out_batch, text_batches
+from .common import materialise, out_batch, text_batches
 
 MAX_TRAIN = 20_000
 PREFIXES = (8, 7, 6, 5, 4)
@@ -175,12 +175,15 @@ def karlin(probs: np.ndarray, scores: np.ndarray) -> float:
 def train_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
     """``text`` and ``y`` of at most so many labelled rows, by a hash of their id.
 
-    ``train`` is a condition on ``doc_id``. The ids sent to all tasks are at most ``limit``.
+    ``train`` is a condition on ``doc_id``. The ids sent to all tasks are at most
+    ``limit``. The sample is written once to the shared folder, so the steps of a
+    fit don't read all documents again.
     """
     ids = labels.where(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y"))
     some = ids.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(limit)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("text", "y")
+    found = d.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("text", "y")
+    return materialise(docs.sparkSession, found, "train")
 
 
 def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic", limit: int = MAX_TRAIN) -> Model:
