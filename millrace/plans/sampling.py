@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rng
 from millrace.operators import sampling as op
+from millrace.operators import taxonomy
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -97,3 +98,15 @@ def vendor_selection(spark, d):
     k = F.col("s_suppkey") % 3
     vendors = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("v_region"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 500).alias("hi"), F.when(k == 0, "any").when(k == 1, "in").otherwise("out").alias("polarity"), k.alias("v_rail"))
     return op.vendors_for(cells_, vendors).select("cell_id", "s_suppkey")
+
+
+@query()
+def draft_cells(spark, d):
+    """Cells drafted from brands as aspects and types as tiers, then relinked; draws are hashed, so there is no SQL."""
+    some = lambda *v: F.array(*map(F.lit, v))
+    axes = {"direction": some("in", "out", "mixed", "non_tx"), "cardinality": some("zero", "single", "dua", "tiga"), "date_hint": some("kemarin", "hari_ini"), "register": some("baku", "jawa"), "register_intensity": some("campur", "penuh"), "magnitude": some("receh", "kecil", "jumbo"), "notation": some("rb_suffix", "jt_suffix", "slang")}
+    p = table(spark, d, "part").groupBy(F.col("p_brand").alias("aspect"), F.col("p_type").alias("tier")).agg(F.count("*").cast("double").alias("weight"))
+    specs = p.withColumn("aspect", F.concat_ws("-", "tier", "aspect")).withColumns(axes)
+    tiers = {t: 0.25 for t in ("ECONOMY", "STANDARD", "PROMO", "SMALL")}
+    cells_ = taxonomy.draft(specs.where(F.col("tier").isin([*tiers])), [*axes], tiers, 400, 42).withColumn("has_nominal", F.col("id").endswith("0"))
+    return taxonomy.relink(cells_).drop(*(f"allowed_{a}" for a in axes))
