@@ -2,7 +2,8 @@
 
 A zstandard dictionary is built from good and one from bad labelled texts.  A
 text is cut into blocks; each block is compressed with either dictionary, and
-the difference of the two compressed sizes over their sum is the block's leaning.
+the difference of the two compressed sizes over their sum (and a constant, so that
+very short texts lean little) is the block's leaning.
 A logistic fit over the text's overall leaning, the leaning of its worst tenth
 of blocks and its own compressibility gives the calibrated score.
 
@@ -35,6 +36,8 @@ DICT_SIZE = 96 << 10
 BLOCK = 1024
 LEVEL = 3
 MIN_CLASS = 8
+#: Bytes added to both sizes, so that very short texts lean little, and a text's usual share of its size.
+SHRINK, USUAL = 80, 0.45
 
 
 def blocks_of(data: bytes) -> list[bytes]:
@@ -56,20 +59,20 @@ class Sizer:
     def features(self, text: str) -> list[float]:
         data = text.encode("utf-8", "surrogatepass")
         if not data:
-            return [0.0, 0.0, 0.0]
+            return [0.0, 0.0, USUAL]
         g, b = self.good.compress, self.bad.compress
         pairs = [(len(g(x)), len(b(x))) for x in blocks_of(data)]
-        lean = sorted((y - x) / (x + y) for x, y in pairs)
+        lean = sorted((y - x) / (x + y + SHRINK) for x, y in pairs)
         low = lean[: max(1, len(lean) // 10)]
         x, y = sum(p[0] for p in pairs), sum(p[1] for p in pairs)
-        return [10 * (y - x) / (x + y), 10 * sum(low) / len(low), len(self.plain.compress(data)) / (len(data) + 32)]
+        return [10 * (y - x) / (x + y + SHRINK), 10 * sum(low) / len(low), (len(self.plain.compress(data)) + 32 * USUAL) / (len(data) + 32)]
 
 
 @dataclass
 class Model:
     good: bytes = b""
     bad: bytes = b""
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (0.0,) * 6
 
     def scorer(self):
         """A function from texts to scores."""
@@ -86,8 +89,8 @@ class Model:
 
 
 def design(x: np.ndarray) -> np.ndarray:
-    """Bias, leanings, compressibility and its hinge below ordinary text."""
-    return np.column_stack([np.ones(len(x)), x, np.maximum(0, 0.3 - x[:, 2])])
+    """Bias, leanings, compressibility and its hinges below ordinary text."""
+    return np.column_stack([np.ones(len(x)), x, np.maximum(0, 0.3 - x[:, 2]), np.maximum(0, 0.2 - x[:, 2])])
 
 
 def dictionary(texts: list[str], limit: int = DICT_BYTES) -> bytes:
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "qualit
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if min(len(texts[0]), len(texts[1])) < MIN_CLASS:
         share = n.get(1, 0) / max(1, sum(n.values()))
-        return Model(weights=(math.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0))
+        return Model(weights=(math.log((share + 1e-6) / (1 - share + 1e-6)),))
     # half of the texts make the dictionaries; all others of the sample, which these don't know, the fit
     halves = {y: t[: max(MIN_CLASS // 2, len(t) // 2)] for y, t in texts.items()}
     model = Model(dictionary(halves[1]), dictionary(halves[0]))

@@ -98,4 +98,4 @@ def test_log_odds_and_lambda():
 
 def test_empty_text_has_no_features():
     s = quality.Sizer(b"good words here " * 20, b"bad words there " * 20)
-    assert s.features("") == [0.0, 0.0, 0.0] and s.features("good words here")[0] > 0
+    assert s.features("") == [0.0, 0.0, quality.USUAL] and s.features("good words here")[0] > 0
