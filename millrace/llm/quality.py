@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "qualit
     """Fit on labelled rows that meet ``rule`` (a condition on ``doc_id``)."""
     sample = train_sample(docs, labels, label, rule, limit)
     spark = docs.sparkSession
-    # so many texts, and so long ones only, come to the driver: DICT_BYTES a class at most
+    # at most DICT_BYTES / 4096 texts a class, none over 16,384 characters, come to the driver
     short = sample.where(F.length("text") <= 16_384).withColumn("h", F.xxhash64("text"))
     texts = {y: [r["text"] for r in short.where(F.col("y") == y).orderBy("h").limit(DICT_BYTES // 4096).select("text").collect()] for y in (0, 1)}
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
