@@ -150,7 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     blocks = materialise(spark, packed(usable(queries), query_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim")), "queries")
     groups = max(1, min(4096, shards.count()))
     sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = sent.join(shards.withColumn("group", F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(groups)).cast("int")), "group")
+    # sorted and merged: neither side has a bound that would allow sending it to all tasks
+    pairs = sent.join(shards.hint("merge").withColumn("group", F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(groups)).cast("int")), "group")
     schema = pa.schema([("q_block", pa.int64()), ("i", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def array(data: bytes, dim: int, n: int) -> np.ndarray:
