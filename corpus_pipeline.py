@@ -2,9 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; each result is
 written as Parquet and read again for the next.  All but the last return the
-columns of ``docs``.  Rows with a null ``doc_id`` pass the filters that can't
-name them (quality, benchmark passages) and count as one group of copies only
-if their texts do.
+columns of ``docs``.  Rows are filtered where they are read; only near-duplicates
+need a join.  Rows with a null ``doc_id`` are judged by their text like all others.
 """
 
 from __future__ import annotations
@@ -17,30 +16,26 @@ from millrace.llm.common import scratch, table
 from millrace.llm.queries import id_hash, tokenizer_file
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id ``decided`` (one column ``kept_id``) names."""
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["kept_id"]), "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), id_hash() % 3 != 1)
-    bad = quality.score(docs, model).where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    return quality.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Rows with equal doc_id count as one document. Rows without one are kept, exact copies among them once.
+    """
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return keep_rows(docs, kept).dropDuplicates(["doc_id"])
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    found = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    return winnow.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield out_batch(schema, doc_id=b.column(0).cast(pa.int64()), score=p, predicted=[int(v >= 0.5) for v in p])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores 0.5 or more; no row leaves its task."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        scorer = sent.value.scorer()
+        for b in batches:
+            p = scorer(["" if t is None else t for t in b.column(at).to_pylist()]) if b.num_rows else []
+            yield b.filter(pa.array([v >= 0.5 for v in p], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -209,3 +209,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         df = df.mapInArrow(search(items, False), "doc_id long, text string, at array<long>, items array<string>").checkpoint()
         items, later = later, next(parts, None)
     return df.mapInArrow(search(items, True), ddl)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Rows of ``docs``, all columns, without any window of the benchmark; no row leaves its task.
+
+    With more than one chunk, rows clean so far are written to the shared folder
+    between chunks.
+    """
+    spark, at = docs.sparkSession, docs.columns.index("text")
+
+    def without(items):
+        sent = spark.sparkContext.broadcast([words for _, words in items])
+
+        def run(batches):
+            index = Index(list(enumerate(sent.value)), window, k)
+            for b in batches:
+                yield b.filter(pa.array([not index.hits(words_of(t))[1] for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    df = docs
+    for n, items in enumerate(chunks(benchmark, chunk_words)):
+        if n:
+            shared_dir(spark)
+            df = df.checkpoint()
+        df = df.mapInArrow(without(items), docs.schema)
+    return df

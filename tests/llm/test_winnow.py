@@ -48,6 +48,8 @@ def test_matches_brute_force(spark, chunk):
     b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = sorted(map(tuple, winnow.decontaminate(d, b, chunk_words=chunk).collect()), key=str)
     assert got == sorted(((i, *slow(t, items, 10)) for i, t, *_ in d.collect()), key=str)
+    kept = winnow.keep_clean(d, b, chunk_words=chunk)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in d.collect() if not slow(r["text"], items, 10)[-1])
 
 
 def test_empty_tables(spark):
