@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, quality, secrets, simhash, winnow
+from millrace.llm import byte_bpe, near_copies, quality, secrets, winnow
 from millrace.llm.common import scratch, table
 from millrace.llm.queries import id_hash, tokenizer_file
 
@@ -23,12 +23,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id.
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more): that with the smallest doc_id.
 
     Rows with equal doc_id count as one document. Rows without one are kept, exact copies among them once.
     """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
@@ -52,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", no_benchmark), ("secrets", no_secrets), ("byte_bpe", tokens)]
 
-#: SimHash components, compression models and tokens have no SQL form; tests/llm compares run() with brute force.
+#: Near-copy components, compression models and tokens have no SQL form; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
