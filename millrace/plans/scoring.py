@@ -122,3 +122,12 @@ def tier_histogram(spark, d):
     k = F.col("l_orderkey") % 100
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return g.withColumn("tier", fn.tier(k >= 90, k, F.lit(1), k % 2 == 0, F.lit(False), F.lit(100)))
+
+
+@query()
+def alt_strict_all(spark, d):
+    """Every order, changed and dropped lines too: do the answer's expenses add up to what was wanted?"""
+    total = F.aggregate(F.filter("want", lambda w: w["type"] == "pengeluaran"), F.lit(0).cast("long"), lambda a, w: a + w["jumlah"])
+    none = lambda t: F.lit(None).cast(t)
+    rule = F.struct(F.lit("principalPlusFee").alias("kind"), none("string").alias("keyword"), none("long").alias("unit"), none("int").alias("count"), (total - 500).alias("principal"), F.lit(500).cast("long").alias("fee"), none("long").alias("personal"), none("long").alias("total"))
+    return graded(spark, d).select("l_orderkey", fn.alt_strict(F.col("got"), rule, F.lit(True)).alias("principal"))
