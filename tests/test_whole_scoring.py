@@ -67,3 +67,10 @@ def principal(o):
 def test_alt_strict_of_every_order(spark, orders):
     want = Counter((o["l_orderkey"], principal(o)) for o in orders)
     assert {p for _, p in want} == {True, False} and rows(spark, "alt_strict_all") == want
+
+
+def test_strict_credit_and_copies_of_every_order(spark, orders):
+    assert any(len({w["n"] for w in o["want"]}) < len(o["want"]) for o in orders)
+    assert rows(spark, "strict_pass_all") == Counter((o["l_orderkey"], strict(o)) for o in orders)
+    assert rows(spark, "price_copy_all") == Counter((o["l_orderkey"], copied(o)) for o in orders)
+    assert rows(spark, "partial_credit_all") == Counter((o["l_orderkey"], w["n"], credit(g, w)) for o in orders for w in o["want"] for g in o["got"] if g["n"] == -w["n"])
