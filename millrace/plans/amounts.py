@@ -63,6 +63,13 @@ def lenient_amount(spark, d):
     return c.select("o_orderkey", fn.lenient_amount(said).alias("parsed"))
 
 
+@query()
+def lenient_amount_all(spark, d):
+    """The amount of every message, suffixes too; tested against the amounts they were rendered from."""
+    said = F.regexp_extract("text", "^beli beras 5 kg (.*?)(?: eh bukan, ceban| sama seket ewu buat teh)$", 1)
+    return chats(spark, d).select("o_orderkey", fn.lenient_amount(said).alias("parsed"))
+
+
 @query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice / 500) * 500 * (1 + 99 * CAST(l_linenumber = 1 AS INT)) AS BIGINT) AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, v, v::VARCHAR AS polos, CASE WHEN v >= 1000 THEN {DOTS} END AS dot_sep, 'Rp ' || {DOTS} AS rp_prefix, CASE WHEN v % 1000 = 0 AND v < 1000000 THEN (v // 1000) || 'rb' END AS rb_suffix,
 CASE WHEN v < 1000000 THEN {K} END AS k_suffix, CASE WHEN v >= 1000000 AND v % 50000 = 0 THEN (v // 1000000) || CASE WHEN v % 1000000 = 0 THEN '' ELSE ',' || rtrim(lpad(CAST(v % 1000000 // 10000 AS VARCHAR), 2, '0'), '0') END || 'jt' END AS jt_suffix FROM o""")
