@@ -107,6 +107,8 @@ def draft_cells(spark, d):
     axes = {"direction": some("in", "out", "mixed", "non_tx"), "cardinality": some("zero", "single", "dua", "tiga"), "date_hint": some("kemarin", "hari_ini"), "register": some("baku", "jawa"), "register_intensity": some("campur", "penuh"), "magnitude": some("receh", "kecil", "jumbo"), "notation": some("rb_suffix", "jt_suffix", "slang")}
     p = table(spark, d, "part").groupBy(F.col("p_brand").alias("aspect"), F.col("p_type").alias("tier")).agg(F.count("*").cast("double").alias("weight"))
     specs = p.withColumn("aspect", F.concat_ws("-", "tier", "aspect")).withColumns(axes)
-    tiers = {t: 0.25 for t in ("ECONOMY", "STANDARD", "PROMO", "SMALL")}
-    cells_ = taxonomy.draft(specs.where(F.col("tier").isin([*tiers])), [*axes], tiers, 400, 42).withColumn("has_nominal", F.col("id").endswith("0"))
+    # a table has few types; each gets an equal share
+    found = sorted(r["tier"] for r in specs.select("tier").where("tier is not null").distinct().collect())
+    tiers = {t: 1 / len(found) for t in found}
+    cells_ = taxonomy.draft(specs, [*axes], tiers, 400, 42).withColumn("has_nominal", F.col("id").endswith("0"))
     return taxonomy.relink(cells_).drop(*(f"allowed_{a}" for a in axes))
