@@ -39,8 +39,8 @@ BROADCAST_GROUPS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
-#: Decoded bytes that must show the header's first line, and the most a header may have.
-PROBE, HEADER_MAX = 512, 1 << 20
+#: Decoded bytes that must show the header's first line.
+PROBE = 512
 
 
 def record(page_id: int | None, url: str, payload: bytes | None, digest: str, length: int, refers_to: int | None) -> bytes:
@@ -147,7 +147,7 @@ def member(tail: Tail, start: int) -> tuple[bytes, int] | None:
     except zlib.error:
         return None
     data = b"".join(out)
-    end = data.find(b"\r\n\r\n", 0, HEADER_MAX)
+    end = data.find(b"\r\n\r\n")
     return (data, at) if end >= 0 and b"\r\nContent-Length:" in data[:end] else None
 
 

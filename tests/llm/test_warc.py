@@ -68,3 +68,9 @@ def test_false_magic_and_foreign_members():
         found = [h["X-Page-Id"] for lo in range(0, len(data), step) for h, _ in warc.records_in(Bytes(data), len(data), lo, min(len(data), lo + step))]
         assert found == ["1", "2"]
     assert list(warc.records_in(Bytes(one[:-9]), len(one) - 9, 0, len(one) - 9)) == []
+
+
+def test_header_of_any_length(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "data:," + "x" * (1 << 20), "<p>long url</p>"), (2, "u", "<p>short</p>")], "page_id long, url string, html string")
+    files = warc.write_warc(pages, str(tmp_path / "w"))
+    assert {r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "w"), files).collect()} == {1, 2}
