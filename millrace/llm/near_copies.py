@@ -37,7 +37,9 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT = 5_000, 3
 STAR_ROUNDS = 2
 SKETCH_BITS = 1024
-PAIR_BLOCK = 1 << 19
+PAIR_BLOCK = 1 << 15
+#: Texts to be compared whose keys are sent to all tasks; more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
 def text_hash(text="text"):
@@ -121,52 +123,81 @@ def keyed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def pairs_of(sig, n, at, root, bits, star: int | None):
-    """Pairs (places i, j) of a run that may link and aren't joined: with the round's leader, or all."""
+    """Pairs of a run that may link and aren't joined: with the round's leader, or all; ``bits`` may be None."""
     order = np.argsort(n, kind="stable")
-    sig, n, at, root, bits = sig[order], n[order], at[order], root[order], bits[order]
+    sig, n, at, root = sig[order], n[order], at[order], root[order]
+    bits = None if bits is None else bits[order]
 
     def may(i, j):
         least = (NUM * (n[i] + n[j]) + NUM + DEN - 1) // (NUM + DEN)
         ok = (root[i] != root[j]) & (1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1) >= least) & (np.minimum(n[i], n[j]) >= least)
         i, j, least = i[ok], j[ok], least[ok]
-        off = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-        ok = off <= n[i] + n[j] - 2 * least
-        return sig[i[ok]], sig[j[ok]]
+        if bits is not None:
+            ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * least
+            i, j = i[ok], j[ok]
+        return sig[i], sig[j]
 
     if star is not None:
         lead = int(np.argmin((sig.view(np.uint64) + np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15)))
-        j = np.arange(len(sig))
-        yield may(np.full(len(sig), lead), j)
+        yield may(np.full(len(sig), lead), np.arange(len(sig)))
         return
     # sizes are sorted: a text's partners of at least its size end where n passes its own by DEN / NUM
     end = np.searchsorted(n, n * DEN // NUM, side="right")
     i = 0
     while i < len(sig):
         stop = i + 1
-        while stop < len(sig) and (end[stop] - i) * (stop + 1 - i) <= PAIR_BLOCK // 16:
+        while stop < len(sig) and (end[stop] - i) * (stop + 1 - i) <= PAIR_BLOCK:
             stop += 1
-        for lo in range(i, int(end[stop - 1]), PAIR_BLOCK // 16):
-            x, y = np.meshgrid(np.arange(i, stop), np.arange(lo, min(lo + PAIR_BLOCK // 16, int(end[stop - 1]))), indexing="ij")
+        for lo in range(i, int(end[stop - 1]), PAIR_BLOCK):
+            x, y = np.meshgrid(np.arange(i, stop), np.arange(lo, min(lo + PAIR_BLOCK, int(end[stop - 1]))), indexing="ij")
             ok = y > x
             yield may(x[ok], y[ok])
         i = stop
 
 
 def candidates(runs: DataFrame, star: int | None) -> DataFrame:
-    """``a``, ``b``: distinct pairs of the runs that may link."""
+    """``a``, ``b``: distinct pairs of the runs (arrays ``m``) that may link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for m in batch.column(0):
                 v = m.values
-                part = {f: v.field(f).to_numpy(zero_copy_only=False) for f in ("sig", "n", "at", "root")}
-                bits = np.frombuffer(b"".join(v.field("bits").to_pylist()), np.uint64).reshape(len(v), -1)
-                for a, b in pairs_of(part["sig"], part["n"].astype(np.int64), part["at"].astype(np.int64), part["root"], bits, star):
+                sig, n, at, root = (v.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("sig", "n", "at", "root"))
+                bits = np.frombuffer(b"".join(v.field("bits").to_pylist()), np.uint64).reshape(len(v), -1) if star is None else None
+                for a, b in pairs_of(sig, n, at, root, bits, star):
                     if len(a):
                         yield out_batch(schema, a=np.minimum(a, b), b=np.maximum(a, b))
 
-    return runs.mapInArrow(run, "a long, b long").distinct()
+    return runs.select("m").mapInArrow(run, "a long, b long").distinct()
+
+
+def sketched(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """The pairs that their sketches don't rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(t.num_rows, -1) for i in (2, 3))
+            n = t.column(4).to_numpy().astype(np.int64)
+            least = (NUM * n + NUM + DEN - 1) // (NUM + DEN)
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n - 2 * least
+            yield out_batch(schema, a=t.column(0).filter(pa.array(ok)), b=t.column(1).filter(pa.array(ok)))
+
+    x, y = (one.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "bits_a", "bits_b", F.col("n_a") + F.col("n_b")).mapInArrow(run, "a long, b long")
+
+
+def grouped(posts: DataFrame, *columns) -> DataFrame:
+    """The runs of ``posts`` as arrays ``m``; rows are dealt before they are gathered, so arrays aren't shuffled."""
+    return posts.repartition("token").groupBy("token").agg(F.collect_list(F.struct(*columns)).alias("m")).where(F.size("m") > 1)
+
+
+def mixed(runs: DataFrame, root: DataFrame) -> DataFrame:
+    """The runs, labelled anew, that have members of more than one group."""
+    posts = runs.select("token", F.inline("m")).select("token", "sig", "n", "at")
+    new = posts.join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return grouped(new, "sig", "n", "at", "root").where(F.size(F.array_distinct("m.root")) > 1)
 
 
 def linked(docs: DataFrame, one: DataFrame, pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -179,7 +210,9 @@ def linked(docs: DataFrame, one: DataFrame, pairs: DataFrame, shingle: int = SHI
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     need = one.select("sig", "h").join(ends, "sig", "left_semi")
-    # equal texts are equal rows here: one is enough, so only its text is sent on
+    need = materialise(docs.sparkSession, need, "near-need")
+    # few texts are in question: they are found where they are read, so the others aren't shuffled
+    need = F.broadcast(need) if need.count() <= BROADCAST_TEXTS else need
     texts = docs.select(text_hash().alias("h"), F.coalesce("text", F.lit("")).alias("text")).join(need, "h").dropDuplicates(["sig"])
     sets = materialise(docs.sparkSession, texts.select("sig", "text").mapInArrow(run, "sig long, s array<long>"), "near-sets")
     j = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
@@ -193,15 +226,19 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     keys = materialise(spark, keyed(docs, shingle), "near-keys")
     one = keys.groupBy("sig").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     one = materialise(spark, one, "near-sigs")
-    posts = keys.dropDuplicates(["sig"]).select("sig", "n", F.posexplode("prefix").alias("at", "token"))
-    m = posts.groupBy("token").agg(F.collect_list(F.struct("sig", "n", "at")).alias("m")).where(F.size("m") > 1)
-    shared = materialise(spark, m.select("token", F.inline("m")), "near-runs")
-    edges, root = None, None
+    posts = keys.select("sig", "n", "prefix").dropDuplicates(["sig"]).select("sig", "n", F.posexplode("prefix").alias("at", "token"))
+    runs = materialise(spark, grouped(posts, "sig", "n", "at", F.col("sig").alias("root")), "near-runs")
+    edges = None
     for star in [*range(STAR_ROUNDS), None]:
-        known = one.select("sig", "bits", F.col("sig").alias("root")) if root is None else one.select("sig", "bits").join(root.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        runs = shared.join(known, "sig").groupBy("token").agg(F.collect_list(F.struct("sig", "n", "at", "root", "bits")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("m")
-        found = materialise(spark, linked(docs, one, materialise(spark, candidates(runs, star), "near-pairs"), shingle), "near-links")
+        if star is None:
+            with_bits = runs.select("token", F.inline("m")).join(one.select("sig", "bits"), "sig")
+            pairs = candidates(grouped(with_bits, "sig", "n", "at", "root", "bits"), None)
+        else:
+            pairs = sketched(candidates(runs, star), one)
+        found = materialise(spark, linked(docs, one, materialise(spark, pairs, "near-pairs"), shingle), "near-links")
         edges = found if edges is None else edges.unionByName(found)
         root = components(edges)
+        if star is not None:
+            runs = materialise(spark, mixed(runs, root), "near-runs")
     led = keys.select("doc_id", "h", "sig").join(root.withColumnRenamed("node", "sig"), "sig", "left")
     return led.select("doc_id", "h", F.coalesce("root", "sig").alias("component"))
