@@ -25,11 +25,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more): that with the smallest doc_id.
 
-    Rows with equal doc_id count as one document. Rows without one are kept, exact copies among them once.
+    Different texts under one doc_id are judged each by its own group. A row without doc_id is kept only where its group has no named one.
     """
-    kept = near_copies.near_copies(docs).groupBy("component").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    found = near_copies.near_copies(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
+    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
+    d = docs.withColumn("_h", near_copies.text_hash())
+    return d.join(kept, (d["_h"] == kept["kept_h"]) & d["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

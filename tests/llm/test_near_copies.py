@@ -58,3 +58,10 @@ def test_groups_match_all_pairs(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_survivors_with_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, a + " end"), (None, c), (None, c + " end")]
+    got = cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in got) == [(0, "c"), (1, "a"), (1, "b")]
