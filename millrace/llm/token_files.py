@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import open_fs, out_batch, text_batches, write_file
+from .common import open_fs, out_batch, qualified, text_batches, write_file
 
 MAGIC = b"MRTOKEF1"
 SELECT_EVERY = 256
@@ -203,6 +203,7 @@ def slices(texts: list[str], chars: int = 1 << 21):
 
 def write_tokens(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> list[dict]:
     """Write all documents; the manifest: file, first rows and ids of each, in order."""
+    out_uri = qualified(docs.sparkSession, out_uri)
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -254,6 +255,7 @@ def read_tokens(spark: SparkSession, out_uri: str, manifest: list[dict], with_id
 
     ``with_ids`` adds ``ids``. One task reads one file at a time.
     """
+    out_uri = qualified(spark, out_uri)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     if with_ids:
         schema = schema.append(pa.field("ids", pa.list_(pa.int64())))
