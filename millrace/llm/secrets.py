@@ -13,8 +13,13 @@ Terms are whole millionths of a bit, so results don't depend on the order of
 sums.  A candidate is suppressed when the allow list explains it: no digit or
 no letter in it (a word, a number), a UUID, or one of the given expressions.
 
-Defined cases: null text counts as empty (no spans); repeated rows give
-repeated results; a null ``doc_id`` keeps its row; an empty table gives no rows.
+Work is linear in the length of a text and in its matches: arrays that a fold
+reads are worked out once (``let``), results are appended in chunks.
+
+Defined cases: null text counts as empty (no spans); very long texts and
+candidates are scanned to their end; repeated rows give repeated results; a null
+``doc_id`` keeps its row; an empty table gives no rows; other columns are ignored
+by ``scan`` and kept by ``redact_in``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +44,9 @@ KINDS = ["assign", "access", "hex", "entropy"]
 
 SPAN = "struct<start:long,end:long,kind:int,value:string>"
 NONE = f"cast(array() as array<{SPAN}>)"
+GAP = "struct<from:long,size:long>"
+#: Items folded at a time, and characters of a block that places are found in.
+CHUNK, BLOCK = 256, 4096
 
 
 def n_log_n(n: int) -> int:
@@ -46,41 +54,82 @@ def n_log_n(n: int) -> int:
     return round(n * math.log2(n) * 1_000_000) if n else 0
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once; a lambda that names an expression works it out at every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def folded(items: Column, add, kind: str) -> Column:
+    """A struct (at, out) after a fold that appends to an array.
+
+    ``add(acc, item)`` gives the new ``at`` and an array of what is appended.
+    Items are folded ``CHUNK`` at a time, so that appending stays linear however
+    many there are.
+    """
+    def start(at: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        at, new = add(acc["at"], item)
+        return F.struct(at.cast("long").alias("at"), F.concat(acc["out"], new).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, start(acc["at"]), one)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
+
+    def whole(a: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda c: F.slice(a, c * CHUNK + 1, CHUNK))
+        return F.aggregate(F.when(F.size(a) > 0, parts), start(F.lit(0)), chunk)
+
+    return let(items, whole)
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """Spans of all leftmost matches, in order."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("match")))
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.when(pair["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def add(at: Column, pair: Column) -> tuple[Column, Column]:
+        start, end = at + pair["gap"], at + pair["gap"] + pair["size"]
+        return end, F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value")))
 
-    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NONE).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add)["out"]).otherwise(F.expr(NONE))
+    # the last piece has no match after it
+    spans = folded(F.filter(pairs, lambda x: x["match"].isNotNull()), add, SPAN)["out"]
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(NONE))
 
 
 def max_window_entropy(s: Column) -> Column:
     """The largest entropy of a window over s, in millionths of a bit, by incremental counts."""
-    chars = F.array_remove(F.split(s, ""), "")
-    alphabet = F.array_distinct(chars)
-    terms = F.array(*(F.lit(n_log_n(i)).cast("long") for i in range(WINDOW + 2)))
+    terms = [n_log_n(i) for i in range(WINDOW + 2)]
     top = WINDOW * round(math.log2(WINDOW) * 1_000_000)
+    # what a count of n adds when it grows by one, and takes off when it shrinks by one
+    grow = F.array(*(F.lit(b - a).cast("long") for a, b in zip(terms, terms[1:])))
+    shrink = F.array(*(F.lit(a - b).cast("long") for a, b in zip([0, *terms], terms)))
 
-    def turn(acc: Column, i: Column) -> Column:
-        enters, leaves = F.get(chars, i), F.when(i >= WINDOW, F.get(chars, i - WINDOW))
-        slot_in, slot_out = F.array_position(alphabet, enters) - 1, F.coalesce(F.array_position(alphabet, leaves) - 1, F.lit(-1))
-        was_out = F.coalesce(F.get(acc["count"], slot_out.cast("int")), F.lit(1))
-        was_in = F.get(acc["count"], slot_in.cast("int")) - F.when(slot_in == slot_out, 1).otherwise(0)
-        total = acc["sum"] + F.get(terms, was_out - 1) - F.get(terms, was_out) + F.get(terms, was_in + 1) - F.get(terms, was_in)
-        count = F.transform(acc["count"], lambda c, j: c + F.when(j == slot_in, 1).otherwise(0) - F.when(j == slot_out, 1).otherwise(0))
-        best = F.when(i >= WINDOW - 1, F.least(acc["low"], total)).otherwise(acc["low"])
-        return F.struct(count.alias("count"), total.cast("long").alias("sum"), best.cast("long").alias("low"))
-
-    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("count"), F.lit(0).cast("long").alias("sum"), F.lit(2**60).cast("long").alias("low"))
-    low = F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, turn)["low"]
+    def over(places: Column, letters: Column, steps: Column) -> Column:
+        """``places``: each character as its place in the alphabet of s; none are named in the fold but these two arrays."""
+
+        def turn(acc: Column, i: Column) -> Column:
+            enters, leaves = F.get(places, i), F.when(i >= WINDOW, F.get(places, i - WINDOW)).otherwise(-1)
+            less = F.when(leaves >= 0, F.get(steps["shrink"], F.get(acc["count"], leaves))).otherwise(0)
+            was = F.get(acc["count"], enters) - F.when(enters == leaves, 1).otherwise(0)
+            total = acc["sum"] + less + F.get(steps["grow"], was)
+            count = F.transform(acc["count"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
+            best = F.when(i >= WINDOW - 1, F.least(acc["low"], total)).otherwise(acc["low"])
+            return F.struct(count.alias("count"), total.cast("long").alias("sum"), best.cast("long").alias("low"))
+
+        start = F.struct(F.transform(letters, lambda _: F.lit(0)).alias("count"), F.lit(0).cast("long").alias("sum"), F.lit(2**60).cast("long").alias("low"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, turn)["low"]
+
+    def coded(chars: Column) -> Column:
+        def with_letters(letters: Column) -> Column:
+            places = F.transform(chars, lambda c: F.array_position(letters, c).cast("int") - 1)
+            return let(F.struct(places.alias("places"), F.struct(grow.alias("grow"), shrink.alias("shrink")).alias("steps")), lambda x: over(x["places"], letters, x["steps"]))
+
+        return let(F.array_distinct(chars), with_letters)
+
+    low = let(F.array_remove(F.split(s, ""), ""), coded)
     return F.floor((F.lit(top) - low) / WINDOW)
 
 
@@ -127,13 +176,26 @@ def digest(scanned: DataFrame) -> DataFrame:
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with every stretch covered by spans replaced by the mask."""
 
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    def add(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.struct(at.alias("from"), (s["start"] - at).alias("size"))
+        none = F.expr(f"cast(array() as array<{GAP}>)")
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(gap)).otherwise(none)
+
+    def cut(blocks: Column) -> Column:
+        """The gaps' texts; a place is found from its block on, not from the text's start."""
+
+        def piece(start: Column, size: Column) -> Column:
+            first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + size) / BLOCK).cast("int")
+            return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (start - first * BLOCK + 1).cast("int"), size.cast("int"))
+
+        def joined_up(d: Column) -> Column:
+            first = F.floor(d["at"] / BLOCK).cast("int")
+            tail = F.substr(F.array_join(F.slice(blocks, first + 1, F.size(blocks)), ""), (d["at"] - first * BLOCK + 1).cast("int"))
+            return F.array_join(F.concat(F.transform(d["out"], lambda g: piece(g["from"], g["size"])), F.array(tail)), mask)
+
+        return let(folded(spans, add, GAP), joined_up)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    made = F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    made = let(F.regexp_extract_all(text, F.lit(f"((?s).{{1,{BLOCK}}})"), F.lit(1)), cut)
     return F.when(F.size(spans) > 0, made).otherwise(text)
 
 

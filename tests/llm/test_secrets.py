@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from millrace.llm import secrets
@@ -61,3 +62,19 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.digest(secrets.scan(df))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    inlined = "data " + "".join(rng.choice(b64) for _ in range(100_000)) + " end"
+    many = " ".join(f"é token=0a1b2c3d4e5f{i:06d}" for i in range(20_000))
+    plain = "k1" * 30_000
+    rows = [(1, inlined), (2, many), (3, plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = sorted(map(tuple, secrets.digest(secrets.scan(df)).collect()))
+    assert got == [(i, *slow(t)) for i, t in rows]
+    masks = {r["doc_id"]: r["text"] for r in secrets.redact_in(df).collect()}
+    assert masks[1] == "data [secret] end" and masks[2] == " ".join(["é [secret]"] * 20_000) and masks[3] == plain
+    assert time.perf_counter() - began < 60
