@@ -11,8 +11,15 @@ Writing: pages with equal payloads (by SHA-1 and length) of at least
 ``min_bytes`` become one response, the one with the largest ``page_id``, and
 revisits that carry the digest and the length but no payload.
 
-Defined cases: null html counts as an empty payload; a null url is written as
-an empty target; equal ``page_id`` rows each get a record (among equal payloads
+Reading what was written here is strict: a record must start where the one before
+it ends, and the task that reads the last record of its range tries the next one
+too, so a damaged or lost record fails the job instead of vanishing.  Archives
+from elsewhere may be read without that (``strict=False``): what can't be decoded
+as a record is then skipped.
+
+Defined cases: null html counts as an empty payload; payloads, urls and headers may
+have any length; other columns of ``pages`` are ignored, whatever their names; a
+null url is written as an empty target; equal ``page_id`` rows each get a record (among equal payloads
 the record with the largest ``page_id``, then the largest url, is the response; of
 rows equal in both too, one); a null ``page_id`` gets a record, ordered
 below all others; an empty table gives no archives.
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import open_fs, out_batch, shared_dir
+from .common import in_buckets, open_fs, out_batch, qualified, shared_dir
 
 MIN_BYTES = 1000
 SPLIT_BYTES = 4 << 20
@@ -58,10 +65,10 @@ def record(page_id: int | None, url: str, payload: bytes | None, digest: str, le
 def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Every page with ``payload_bytes``, ``digest``, ``revisit`` and, for a revisit, ``best_id``.
 
-    Groups of equal payloads are found on digests alone.  The table of groups
-    with more than one row is sent to all tasks if it has at most
-    ``BROADCAST_GROUPS`` rows, so html stays where it was read; a larger one is
-    joined by a shuffle, which splits skewed digests.
+    Groups of equal payloads are found on digests alone, and html stays where it
+    is read: the largest groups, at most ``BROADCAST_GROUPS``, are sent to all
+    tasks. If there are more, rows whose digest falls in a bucket of a group left
+    over are joined with those by a shuffle (hot digests are among the largest).
     """
     spark = pages.sparkSession
     shared_dir(spark)
@@ -70,9 +77,17 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     same = ["digest", "payload_bytes"]
     rows = p.where(F.col("payload_bytes") >= min_bytes).groupBy(*same, "page_id", "url").agg(F.count("*").alias("n"))
     best = rows.groupBy(*same).agg(F.max(F.struct("page_id", "url", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1")
-    best = best.select(*same, F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"), (F.col("best.n") > 1).alias("tied")).checkpoint()
-    few = best.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    j = p.join(F.broadcast(best) if few else best, same, "left")
+    best = best.select(*same, F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"), (F.col("best.n") > 1).alias("tied"), F.xxhash64("digest").alias("h"), "n").checkpoint()
+    most = best.orderBy(F.desc("n"), "digest").limit(BROADCAST_GROUPS)
+    added = [F.col(c) for c in ("best_id", "best_url", "tied")]
+    j = p.join(F.broadcast(most.select(*same, *added)), same, "left")
+    if best.count() > BROADCAST_GROUPS:
+        others = best.join(most.select("digest", "payload_bytes"), same, "left_anti")
+        open_ = j.where("best_url is null").select(*p.columns, F.xxhash64("digest").alias("h"))
+        none = [F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("best_id", "best_url", "tied")]
+        sure = in_buckets(open_, others, "h", inside=False).select(*p.columns, *none)
+        rest = in_buckets(open_, others, "h").join(others.select(*same, *added).hint("merge"), same, "left").select(*p.columns, *added)
+        j = j.where("best_url is not null").select(*p.columns, *added).unionByName(sure).unionByName(rest)
     first = F.col("best_id").eqNullSafe(F.col("page_id")) & (F.col("best_url") == F.col("url"))
     j = j.withColumn("revisit", F.col("best_url").isNotNull() & ~first).withColumn("tied", F.coalesce(F.col("tied") & first, F.lit(False)))
     if best.where("tied").limit(1).count() == 0:
@@ -85,6 +100,7 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def write_warc(pages: DataFrame, out_uri: str, min_bytes: int = MIN_BYTES) -> list[tuple[str, int]]:
     """Write the archives; (file, bytes) of each."""
+    out_uri = qualified(pages.sparkSession, out_uri)
     schema = pa.schema([("file", pa.string()), ("bytes", pa.int64())])
 
     def run(batches):
@@ -112,7 +128,7 @@ class Tail:
     """Bytes of a file from a place on, read as they are asked for."""
 
     def __init__(self, f, start: int, size: int):
-        self.f, self.at, self.size, self.buf = f, start, size, b""
+        self.f, self.at, self.size, self.buf = f, start, size, bytearray()
 
     def need(self, place: int) -> bool:
         """Have the bytes up to place; False at the file's end."""
@@ -125,7 +141,9 @@ class Tail:
 
     def drop(self, place: int) -> None:
         if place > self.at:
-            self.buf, self.at = self.buf[place - self.at :], max(self.at, min(place, self.at + len(self.buf)))
+            gone = min(place - self.at, len(self.buf))
+            del self.buf[:gone]
+            self.at += gone
 
 
 def member(tail: Tail, start: int) -> tuple[bytes, int] | None:
@@ -151,40 +169,55 @@ def member(tail: Tail, start: int) -> tuple[bytes, int] | None:
     return (data, at) if end >= 0 and b"\r\nContent-Length:" in data[:end] else None
 
 
-def records_in(f, size: int, lo: int, hi: int):
-    """(headers, payload) of the records that start in [lo, hi)."""
-    tail, at = Tail(f, lo, size), lo
+def records_in(f, size: int, lo: int, hi: int, strict: bool = False):
+    """(headers, payload) of the records that start in [lo, hi).
+
+    ``strict`` raises where a record doesn't follow the one before it at once.
+    """
+    tail, at, due = Tail(f, lo, size), lo, 0 if lo == 0 else None
+    yield from _records(tail, at, size, hi, due if strict else None, strict)
+
+
+def _records(tail: Tail, at: int, size: int, hi: int, due: int | None, strict: bool):
+    """``due``: where the next record must start, if that is known."""
     while at < hi:
         if not tail.need(at + 2):
-            return
+            break
         found = tail.buf.find(MAGIC, at - tail.at)
         if found < 0:
             at = tail.at + len(tail.buf) - 2
             tail.drop(at)
             if not tail.need(at + 3):
-                return
+                break
             continue
         start = tail.at + found
         if start >= hi:
-            return
+            break
         tail.drop(start)
         got = member(tail, start)
         if got is None:
             at = start + 1
             continue
+        if due is not None and start != due:
+            raise ValueError(f"no record at byte {due}")
         data, at = got
+        due = at if strict else None
         cut = data.index(b"\r\n\r\n")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in data[:cut].decode("utf-8", "replace").split("\r\n")[1:])
         n = int(head["Content-Length"])
         yield head, data[cut + 4 : cut + 4 + n]
+    if due is not None and due < size and (due < hi or member(tail, due) is None):
+        raise ValueError(f"no record at byte {due}")
 
 
-def read_warc(spark: SparkSession, out_uri: str, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, with_html: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, out_uri: str, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, with_html: bool = False, strict: bool = True) -> DataFrame:
     """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` of every record in the archives.
 
     A response's length and digest are taken from the payload itself, a
     revisit's from its headers. ``with_html`` adds the payload of responses.
+    ``strict``: see the module's text.
     """
+    out_uri = qualified(spark, out_uri)
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     if with_html:
         schema = schema.append(pa.field("html", pa.string()))
@@ -198,7 +231,7 @@ def read_warc(spark: SparkSession, out_uri: str, files: list[tuple[str, int]], s
                 rows = []
                 fs, base = open_fs(out_uri)
                 with fs.open_input_file(f"{base}/{r['file']}") as f:
-                    for head, body in records_in(f, r["size"], r["lo"], r["hi"]):
+                    for head, body in records_in(f, r["size"], r["lo"], r["hi"], strict):
                         kind = head["WARC-Type"]
                         digest, length = (hashlib.sha1(body).hexdigest(), len(body)) if kind == "response" else (head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]))
                         row = {"page_id": number(head.get("X-Page-Id")), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("X-Refers-To-Page"))}

@@ -74,3 +74,36 @@ def test_header_of_any_length(spark, tmp_path):
     pages = spark.createDataFrame([(1, "data:," + "x" * (1 << 20), "<p>long url</p>"), (2, "u", "<p>short</p>")], "page_id long, url string, html string")
     files = warc.write_warc(pages, str(tmp_path / "w"))
     assert {r["page_id"] for r in warc.read_warc(spark, str(tmp_path / "w"), files).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("sent", [0, 1, 2])
+def test_more_repeated_payloads_than_are_sent_to_tasks(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", sent)
+    extra = [(500 + i, f"http://b/{i}", f"{i % 9} " * 900, "t") for i in range(40)]
+    df = spark.createDataFrame(rows() + extra, "page_id long, url string, html string, h string").repartition(3)
+    files = warc.write_warc(df, str(tmp_path))
+    got = warc.read_warc(spark, str(tmp_path), files, 5000).collect()
+    assert sorted(map(tuple, got), key=str) == want(rows() + extra)
+
+
+def test_damaged_records_fail_a_strict_read(spark, tmp_path):
+    parts = [warc.record(i, "u", os.urandom(400), "d", 400, None) for i in range(40)]
+    data = b"".join(parts)
+    at = len(b"".join(parts[:20]))
+    bad = data[: at + 60] + bytes([data[at + 60] ^ 255]) + data[at + 61 :]
+    for step in (50, 700, 5000, len(data)):
+        ranges = [(lo, min(len(data), lo + step)) for lo in range(0, len(data), step)]
+        assert sum(len(list(warc.records_in(Bytes(data), len(data), *r, True))) for r in ranges) == 40
+        assert sum(len(list(warc.records_in(Bytes(bad), len(bad), *r))) for r in ranges) == 39
+        with pytest.raises(ValueError, match="no record at byte"):
+            for r in ranges:
+                list(warc.records_in(Bytes(bad), len(bad), *r, True))
+
+
+def test_long_payload(spark, tmp_path):
+    rng = random.Random(8)
+    html = "".join(chr(rng.randint(32, 0x4FFF)) for _ in range(600_000))  # over several read buffers when compressed
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", html), (3, "w", "short")], "page_id long, url string, html string")
+    files = warc.write_warc(pages, str(tmp_path / "w"))
+    got = {r["page_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w"), files, 100_000).collect()}
+    assert (got[2]["payload_bytes"], got[2]["payload_digest"], got[1]["refers_to"]) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest(), 2)
