@@ -1,24 +1,30 @@
 """Exact top-k inner products from an impact-ordered index.
 
 Components are quantised to integers, floor(256 * x).  An index shard holds up
-to ``SHARD_ROWS`` vectors as posting segments: a segment has the postings
-(row, dimension, value) of one impact level, levels in descending order of the
-quantised magnitude, and with it each row's norm over the postings still to
-come.  Queries are scored a level at a time, for a block of queries at once.
-After a level, a row's score is its sum so far plus or minus the product of the
-query's norm and the row's remaining norm (Cauchy-Schwarz); a row whose upper
-bound is below the k-th best lower bound is out by proof.  When few enough rows
-remain possible for each query, or no postings do, scoring stops and the
-possible members are scored exactly from their vectors.
-
-Blocks of queries meet shards by a join on the shard number, so neither side
-is collected or broadcast; each (shard, block) pair gives at most k rows a query.
+to ``SHARD_ROWS`` vectors as posting segments: one for each dimension and impact
+level (the power of two of a quantised magnitude; zeros have no posting), levels
+in descending order, and after each level every row's norm over the postings
+still to come.  Queries are scored a level at a time, for a block of queries at
+once: a segment adds its postings to the rows that have one; a level that holds
+over ``DENSE`` of all places is kept as a matrix and added by one product.  After
+a level, a row's score is its sum so far plus or minus the product of the query's
+norm and the row's remaining norm (Cauchy-Schwarz); a row whose upper bound is
+below the k-th best lower bound is out by proof.  That check costs about as much
+as ``CHECK`` postings a row, so it is made where more are left.  When few enough
+rows remain possible, or no postings do, scoring stops and the possible members
+are scored exactly from their vectors.
+
+Blocks of queries meet sets of shards by a join on the set's number, so neither
+side is collected or broadcast; there are at most ``SETS`` sets for each core, and
+each (shard, block) pair gives at most k rows a query.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part, nor do rows without ``vec_id``; shorter vectors count as padded with
-zeros; rows that share the query's ``vec_id`` are its own and no candidates;
-of equal scores the smaller ``vec_id`` ranks first; fewer than k candidates give
-all; scores beyond a long are held at its ends; repeated query rows each get their ranks; an empty table gives no rows.
+no part, nor do rows without ``vec_id``; empty vectors score 0 with all others;
+shorter vectors count as padded with zeros; rows that share the query's ``vec_id``
+are its own and no candidates; of equal scores the smaller ``vec_id`` ranks first;
+fewer than k candidates give all; scores beyond a long are held at its ends;
+repeated query rows each get their ranks; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +41,16 @@ from .common import materialise, shared_dir
 SCALE = 256
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
-#: Shares of the postings, from the highest impacts on, at which levels end.
-LEVELS = (0.15, 0.35, 0.6, 1.0)
+#: Pairs rescored at once.
+BLOCK = 1 << 16
+#: Share of all places from which on a level is kept as a matrix.
+DENSE = 0.25
+#: Postings a row that a check of the bounds is worth.
+CHECK = 64
 #: Scoring stops early once this share of the rows is still possible.
 FEW = 0.05
+#: Sets of shards for each core.
+SETS = 2
 
 
 def usable(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -68,59 +80,76 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Posting segments of a set of vectors, by descending impact level."""
+    """Posting segments of a set of vectors, by descending impact level.
+
+    ``work`` counts the postings that queries were scored with.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        mag = np.abs(x).ravel()
-        order = np.argsort(-mag, kind="stable")
-        row, dim = np.divmod(order, max(1, x.shape[1]))
-        self.segments = []
+        self.ids, self.x, self.work = ids, x, 0
+        self.peak = float(np.abs(x).max(initial=0))
+        # where sums stay whole in single precision, segments are kept so
+        self.kind = np.float32 if self.peak**2 * max(x.shape[1], 1) < 2**24 else np.float64
+        level = np.frexp(np.abs(x))[1]  # 0 for zeros, else 1 + log2 of the magnitude
         rest = (x**2).sum(1)
-        lo = 0
-        for share in LEVELS:
-            hi = len(order) if share == 1 else int(share * len(order))
-            r, d = row[lo:hi], dim[lo:hi]
-            v = x[r, d]
-            rest = rest - np.bincount(r, v**2, len(x))
-            self.segments.append((r, d, v, np.sqrt(np.maximum(rest, 0))))
-            lo = hi
+        self.levels = []
+        for v in np.unique(level[x != 0])[::-1]:
+            here = (level == v) & (x != 0)
+            n = int(here.sum())
+            rest = rest - np.where(here, x**2, 0).sum(1)
+            if n >= DENSE * x.size:
+                data = np.where(here, x, 0).astype(self.kind)
+            else:
+                dim, row = np.nonzero(here.T)
+                cuts = np.flatnonzero(np.r_[True, dim[1:] != dim[:-1], True])
+                data = [(int(dim[i]), row[i:j], x[row[i:j], dim[i]].astype(self.kind)) for i, j in zip(cuts, cuts[1:])]
+            self.levels.append((n, data, np.sqrt(np.maximum(rest, 0))))
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query row, vec_id, score) of each query's k best here."""
         d = max(q.shape[1], self.x.shape[1])
         q, x = np.pad(q, ((0, 0), (0, d - q.shape[1]))), np.pad(self.x, ((0, 0), (0, d - self.x.shape[1])))
         n = len(x)
-        peak = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(d, 1)
-        kind = np.float32 if peak < 2**24 else np.float64
-        acc = np.zeros((len(q), n), kind)
-        norm = np.sqrt((q**2).sum(1))
-        own = q_ids[:, None] == self.ids[None, :]
+        peak = float(np.abs(q).max(initial=0)) * self.peak * max(d, 1)
+        kind = self.kind if peak < 2**24 else np.float64
+        whole = peak < 2 ** (24 if kind is np.float32 else 53)
+        slack = 0.0 if whole else peak * 1e-9
+        side = np.ascontiguousarray(q.T, kind)
+        acc = np.zeros((n, len(q)), kind)
+        norm, own = np.sqrt((q**2).sum(1)), self.ids[:, None] == q_ids[None, :]
+        left = sum(m for m, _, _ in self.levels)
         possible = ~own
-        slack = 1.0 if peak < 2**50 else peak * 1e-9
-        for level, (r, c, v, rest) in enumerate(self.segments):
-            part = np.zeros((n, d), kind)
-            part[r, c] = v
-            acc += q.astype(kind) @ part.T
-            last = level + 1 == len(self.segments)
-            reach = 0 if last and kind is np.float32 else norm[:, None] * rest[None, :] + slack
-            if n > k:
-                low = np.where(own, -np.inf, acc - reach)
-                kth = np.partition(low, n - k, axis=1)[:, n - k]
-                possible = (acc + reach >= kth[:, None]) & ~own
+        for m, data, rest in self.levels or [(0, [], np.zeros(n))]:
+            if isinstance(data, list):
+                for dim, row, v in data:
+                    acc[row] += v[:, None] * side[dim][None, :]
+            else:
+                acc += data @ side[: data.shape[1]]
+            self.work += m
+            left -= m
+            if n <= k or 0 < left <= CHECK * n:
+                continue
+            reach = norm[None, :] * rest[:, None] + slack if left else slack
+            low = np.where(own, -np.inf, acc - reach).T
+            kth = np.partition(low, n - k, axis=1)[:, n - k]
+            possible = (acc + reach >= kth[None, :]) & ~own
             if possible.sum() <= max(k * len(q), FEW * possible.size):
                 break
-        out = []
-        for i in range(len(q)):
-            at = np.flatnonzero(possible[i])
-            score = exact(q[i], x[at])
-            best = np.lexsort((self.ids[at], -score))[:k] if score.size and score.min() > -(2**63) else sorted(range(len(at)), key=lambda j: (-int(score[j]), int(self.ids[at[j]])))[:k]
-            out += [(i, int(self.ids[at[j]]), int(score[j])) for j in best]
-        return out
+        i, row = np.nonzero(possible.T)
+        if peak < 2**53:
+            score = np.concatenate([(x[row[a : a + BLOCK]] * q[i[a : a + BLOCK]]).sum(1).astype(np.int64) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
+            order = np.lexsort((self.ids[row], -score, i))
+        else:
+            score = np.array([int(exact(q[a], x[b : b + 1])[0]) for a, b in zip(i, row)], object)
+            order = np.array(sorted(range(len(i)), key=lambda t: (i[t], -score[t], self.ids[row[t]])), np.int64)
+        i, row, score = i[order], row[order], score[order]
+        first = np.searchsorted(i, i)
+        best = np.arange(len(i)) - first < k
+        return list(zip(i[best].tolist(), self.ids[row[best]].tolist(), score[best].tolist()))
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in blocks: ``block`` number, ``ids`` and quantised ``vectors`` as bytes, ``dim``."""
+    """Rows in blocks: ``block`` number, ``ids`` and quantised ``vectors`` as bytes of the narrowest ``kind``, ``dim``."""
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
@@ -136,10 +165,11 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 
     def pack(block, ids, vecs):
         x = quantised(vecs)
-        return pa.RecordBatch.from_pylist([{"block": block, "ids": np.array(ids, np.int64).tobytes(), "vectors": x.tobytes(), "dim": x.shape[1]}], schema=schema)
+        kind = next(k for k, most in (("<i2", 2**15), ("<i4", 2**31), ("<f8", np.inf)) if np.abs(x).max(initial=0) < most or most == np.inf)
+        return pa.RecordBatch.from_pylist([{"block": block, "ids": np.array(ids, np.int64).tobytes(), "vectors": x.astype(kind).tobytes(), "dim": x.shape[1], "kind": kind}], schema=schema)
 
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32())])
-    return rows.mapInArrow(run, "block long, ids binary, vectors binary, dim int")
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("kind", pa.string())])
+    return rows.mapInArrow(run, "block long, ids binary, vectors binary, dim int, kind string")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -147,30 +177,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     spark = vectors.sparkSession
     shared_dir(spark)
     shards = materialise(spark, packed(usable(vectors), shard_rows), "index")
-    blocks = materialise(spark, packed(usable(queries), query_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim")), "queries")
-    groups = max(1, min(4096, shards.count()))
-    sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    blocks = materialise(spark, packed(usable(queries), query_rows).select(*(F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "dim", "kind"))), "queries")
+    sets = max(1, min(SETS * spark.sparkContext.defaultParallelism, shards.count()))
+    # the number of partitions is given, so AQE doesn't pack sets together
+    here = shards.withColumn("set", F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(sets)).cast("int")).repartition(4 * sets, "set")
+    sent = blocks.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).repartition(4 * sets, "set")
     # sorted and merged: neither side has a bound that would allow sending it to all tasks
-    pairs = sent.join(shards.hint("merge").withColumn("group", F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(groups)).cast("int")), "group")
+    pairs = sent.join(here.hint("merge"), "set")
     schema = pa.schema([("q_block", pa.int64()), ("i", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def array(data: bytes, dim: int, n: int) -> np.ndarray:
-        return np.frombuffer(data, np.float64).reshape(n, dim) if data else np.zeros((n, dim))
+    def array(data: bytes, dim: int, n: int, kind: str) -> np.ndarray:
+        return np.frombuffer(data, kind).reshape(n, dim).astype(np.float64) if data else np.zeros((n, dim))
 
     def run(batches):
         built: dict[int, Shard] = {}
         for b in batches:
-            for r in b.to_pylist():
+            for j in range(b.num_rows):
+                r = {c: b.column(c)[j].as_py() for c in b.schema.names}
                 if r["block"] not in built:
                     if len(built) >= 4:
                         built.clear()
                     ids = np.frombuffer(r["ids"], np.int64)
-                    built[r["block"]] = Shard(ids, array(r["vectors"], r["dim"], len(ids)))
+                    built[r["block"]] = Shard(ids, array(r["vectors"], r["dim"], len(ids), r["kind"]))
                 q_ids = np.frombuffer(r["q_ids"], np.int64)
-                got = built[r["block"]].search(q_ids, array(r["q_vectors"], r["q_dim"], len(q_ids)), k)
+                got = built[r["block"]].search(q_ids, array(r["q_vectors"], r["q_dim"], len(q_ids), r["q_kind"]), k)
                 i = np.array([g[0] for g in got], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["q_block"])), pa.array(i), pa.array(q_ids[i]), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], schema=schema)
 
-    best = pairs.select("block", "ids", "vectors", "dim", "q_block", "q_ids", "q_vectors", "q_dim").mapInArrow(run, "q_block long, i int, query_id long, vec_id long, score long")
+    names = ["block", "ids", "vectors", "dim", "kind"]
+    best = pairs.select(*names, *(f"q_{c}" for c in names)).mapInArrow(run, "q_block long, i int, query_id long, vec_id long, score long")
     w = W.partitionBy("q_block", "i").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

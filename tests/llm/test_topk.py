@@ -59,3 +59,24 @@ def test_scoring_stops_early_only_on_proof():
     s = x @ (x[0] + 1)
     want = sorted(zip(-s, ids))[:5]
     assert [(j, int(v)) for _, j, v in got] == [(j, int(-v)) for v, j in want]
+
+
+def test_work_stops_before_the_last_level_on_skewed_postings():
+    rng = np.random.default_rng(5)
+    n, d = 2000, 512
+    x = np.floor(rng.normal(0, 3, (n, d)))
+    at = rng.random((n, d)) < 0.01
+    x[at] = np.floor(rng.normal(0, 900, int(at.sum())))
+    ids, q = np.arange(n), x[:20]
+    shard = topk.Shard(ids, x)
+    got = shard.search(ids[:20], q, 5)
+    s = (q @ x.T).astype(np.int64)
+    want = [(i, j, int(s[i, j])) for i in range(20) for j in sorted((j for j in range(n) if j != i), key=lambda j: (-s[i, j], j))[:5]]
+    assert got == want
+    assert shard.work < 0.1 * np.count_nonzero(x)
+
+
+def test_only_empty_vectors_and_clashing_columns(spark):
+    df = spark.createDataFrame([(0, [], 1, 2, 3), (50, [], 1, 2, 3), (1, [], 1, 2, 3)], "vec_id long, embedding array<float>, block int, ids int, set int")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)]
