@@ -8,30 +8,36 @@ A logistic fit over the text's overall leaning, the leaning of its worst tenth
 of blocks and its own compressibility gives the calibrated score.
 
 Training reads a bounded sample of labelled rows (``MAX_TRAIN`` documents by a
-hash of their id, at most ``DICT_BYTES`` of text a class for the dictionaries);
-scoring compresses every text to its end.
-
-Defined cases: null and empty texts have leaning zero and a fixed score; repeated
-rows give repeated scores; labelled rows that are null or whose document is
-missing teach nothing; with fewer than ``MIN_CLASS`` texts of either class every
-score is the share of good labels.
+hash of their id).  The dictionaries are built from ``DICT_TEXTS`` of them a class
+at most, half of what the sample has of the class: from a long text
+``TEXT_BLOCKS`` blocks spread evenly over its whole length, from others all
+blocks.  The fit takes the whole texts of the rest of the sample, and scoring
+compresses every text to its end.
+
+Defined cases: null and empty texts have leaning zero and a fixed score; very long
+texts teach and are scored like all others; repeated rows give repeated scores;
+labelled rows that are null or whose document is missing teach nothing; with fewer
+than ``MIN_CLASS`` texts of either class every score is the share of good labels;
+an empty table gives no rows; ``keep_good`` keeps all columns, whatever their
+names, ``score`` ignores all but ``doc_id`` and ``text``.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import out_batch, text_batches
+from .common import SLICE, out_batch, text_batches
 from .toxicity import fit_logistic, train_sample
 
 MAX_TRAIN = 12_000
-DICT_BYTES = 6 << 20
+DICT_TEXTS, TEXT_BLOCKS = 768, 16
 DICT_SIZE = 96 << 10
 BLOCK = 1024
 LEVEL = 3
@@ -44,6 +50,13 @@ def blocks_of(data: bytes) -> list[bytes]:
     return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
 
 
+def some_blocks(text: str) -> list[bytes]:
+    """At most ``TEXT_BLOCKS`` blocks, spread over the whole text."""
+    found = blocks_of(text.encode("utf-8", "surrogatepass"))
+    n = len(found)
+    return found if n <= TEXT_BLOCKS else [found[i * (n - 1) // (TEXT_BLOCKS - 1)] for i in range(TEXT_BLOCKS)]
+
+
 class Sizer:
     """Compressed sizes under both dictionaries and none."""
 
@@ -93,19 +106,11 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, np.maximum(0, 0.3 - x[:, 2]), np.maximum(0, 0.2 - x[:, 2])])
 
 
-def dictionary(texts: list[str], limit: int = DICT_BYTES) -> bytes:
-    """A zstandard dictionary of the texts' blocks, at most ``limit`` bytes of them."""
+def dictionary(samples: list[bytes]) -> bytes:
+    """A zstandard dictionary of blocks of text."""
     import zstandard as zs
 
-    samples: list[bytes] = []
-    size = 0
-    for t in texts:
-        for b in blocks_of(t.encode("utf-8", "surrogatepass")):
-            if size >= limit:
-                break
-            samples.append(b)
-            size += len(b)
-    room = min(DICT_SIZE, max(1024, size // 8))
+    room = min(DICT_SIZE, max(1024, sum(map(len, samples)) // 8))
     try:
         return zs.train_dictionary(room, samples, k=64, d=8, level=LEVEL).as_bytes()
     except zs.ZstdError:  # too little text to train on: the text itself is the dictionary
@@ -116,17 +121,24 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "qualit
     """Fit on labelled rows that meet ``rule`` (a condition on ``doc_id``)."""
     sample = train_sample(docs, labels, label, rule, limit)
     spark = docs.sparkSession
-    # at most DICT_BYTES / 4096 texts a class, none over 16,384 characters, come to the driver
-    short = sample.where(F.length("text") <= 16_384).withColumn("h", F.xxhash64("text"))
-    texts = {y: [r["text"] for r in short.where(F.col("y") == y).orderBy("h").limit(DICT_BYTES // 4096).select("text").collect()] for y in (0, 1)}
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if min(len(texts[0]), len(texts[1])) < MIN_CLASS:
+    if min(n.get(0, 0), n.get(1, 0)) < MIN_CLASS:
         share = n.get(1, 0) / max(1, sum(n.values()))
         return Model(weights=(math.log((share + 1e-6) / (1 - share + 1e-6)),))
-    # half of the texts make the dictionaries; all others of the sample, which these don't know, the fit
-    halves = {y: t[: max(MIN_CLASS // 2, len(t) // 2)] for y, t in texts.items()}
-    model = Model(dictionary(halves[1]), dictionary(halves[0]))
-    used = spark.sparkContext.broadcast({hash_of(t) for h in halves.values() for t in h})
+
+    def cut(batches):
+        schema = pa.schema([("h", pa.decimal128(20)), ("blocks", pa.list_(pa.binary()))])
+        for _, ts in text_batches(batches):
+            for t in ts:
+                yield pa.RecordBatch.from_pylist([{"h": Decimal(hash_of(t)), "blocks": some_blocks(t)}], schema=schema)
+
+    # half of the texts at most make the dictionaries, bounded in number and blocks; all others of the sample, which these don't know, the fit
+    built = {}
+    for y in (0, 1):
+        texts = sample.where(F.col("y") == y).orderBy(F.xxhash64("text")).limit(max(MIN_CLASS // 2, min(DICT_TEXTS, n[y] // 2))).select("text")
+        built[y] = texts.mapInArrow(cut, "h decimal(20,0), blocks array<binary>").collect()
+    model = Model(*(dictionary([bytes(x) for r in built[y] for x in r["blocks"]]) for y in (1, 0)))
+    used = spark.sparkContext.broadcast({int(r["h"]) for rows in built.values() for r in rows})
     sent = spark.sparkContext.broadcast(model)
 
     def weigh(batches):
@@ -170,7 +182,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         scorer = sent.value.scorer()
-        for b in batches:
+        for b in (w.slice(i, SLICE) for w in batches for i in range(0, w.num_rows, SLICE)):
             p = scorer(["" if t is None else t for t in b.column(at).to_pylist()]) if b.num_rows else []
             yield b.filter(pa.array([v >= 0.5 for v in p], pa.bool_()))
 

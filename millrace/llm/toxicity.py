@@ -16,10 +16,15 @@ sum of its passages' normalised scores, and a logistic fit turns evidence into
 a probability.
 
 Training reads a bounded sample of labelled rows (``MAX_TRAIN`` documents, by a
-hash of their id); scoring reads every text to its end.
+hash of their id); scoring reads every text to its end.  Parameters of the fit: a
+token is kept if at least ``MIN_COUNT`` toxic texts of the sample have it and its
+z-score and log-odds reach ``MIN_Z`` and ``MIN_ODDS``; of those kept the model
+holds the ``MAX_TOKENS`` of the highest z-scores, which bounds what is sent to
+tasks; lambda is at most ``MAX_LAMBDA`` and log K at least ``MIN_LOG_K``.
 
 Defined cases: null and empty texts have no evidence and get the probability of
-that; repeated rows give repeated scores; labelled rows that are null or whose
+that; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are
+ignored, whatever their names; repeated rows give repeated scores; labelled rows that are null or whose
 document is missing teach nothing; a document with several labels teaches each;
 with no toxic or no clean labels every score is the share of toxic labels.
 """
@@ -46,6 +51,8 @@ CHOICE_SHARE = 0.1
 MIN_COUNT, MIN_Z, MIN_ODDS, MAX_TOKENS = 4, 2.5, 3.0, 50_000
 #: Least log K: with few clean texts that hold any token, nothing lower can be told.
 MIN_LOG_K = -1.0
+#: The largest lambda: tokens of no clean text would make it endless.
+MAX_LAMBDA = 4.0
 MAX_E = 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -224,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "toxic"
     model.other = min(-0.005, math.log((1 - p1) / (1 - p0)))
     probs = np.array([(r["y0"] + PRIOR_SHARE * (r["y1"] + r["y0"])) / (n0 + prior) for r in whole])
     probs = np.append(probs, max(0.1, 1 - probs.sum()))
-    model.lam = min(4.0, karlin(probs, np.array([r["d"] for r in whole] + [model.other])))
+    model.lam = min(MAX_LAMBDA, karlin(probs, np.array([r["d"] for r in whole] + [model.other])))
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def best(batches):
