@@ -88,31 +88,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5""",
     "op4_warc": """
-WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS best FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url DESC))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND k > 1 THEN best END AS refers_to
 FROM m""",
     "op6_url_filter": r"""
-WITH r AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH r AS (SELECT row_number() OVER () AS r, page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(verdict, rhost, rpath)),
-f AS (SELECT h.*, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY h.page_id ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC) AS n
+f AS (SELECT h.*, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY h.r ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC) AS n
       FROM h LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1""",
     "op8_secrets": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 k(kind, no, re, least) AS (VALUES
   ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 12),
   ('access', 1, 'AKIA[A-Z0-9]{{14,}}', 18), ('hex', 2, '[0-9a-f]{{16,}}', 16), ('entropy', 3, '[A-Za-z0-9+/_=-]{{20,}}', 20)),
-m AS (SELECT doc_id, kind, no, least, string_split_regex(text, re) AS gaps, regexp_extract_all(text, re) AS hits FROM d, k),
-e AS (SELECT doc_id, kind, no, least, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
-p AS (SELECT doc_id, kind, no, least, hits[i] AS hit,
+m AS (SELECT r, kind, no, least, string_split_regex(text, re) AS gaps, regexp_extract_all(text, re) AS hits FROM d, k),
+e AS (SELECT r, kind, no, least, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT r, kind, no, least, hits[i] AS hit,
              CAST(sum(length(gaps[i])) OVER w + sum(length(hits[i])) OVER w - length(hits[i]) AS BIGINT) AS s
-      FROM e WINDOW w AS (PARTITION BY doc_id, no ORDER BY i)),
-b AS (SELECT doc_id, kind, no, s, s + length(hit) AS t, hit FROM p
+      FROM e WINDOW w AS (PARTITION BY r, no ORDER BY i)),
+b AS (SELECT r, kind, no, s, s + length(hit) AS t, hit FROM p
       WHERE CASE WHEN no = 0 THEN length(regexp_replace(hit, '^(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?', '')) ELSE length(hit) END >= least
         AND (no < 3 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
              AND NOT regexp_matches(hit, '^[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}$')))),
@@ -122,23 +120,23 @@ n AS (SELECT hit, i, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
 t AS (SELECT hit, i, sum(list_extract([{", ".join(str(_N[i]) for i in range(1, secrets.WINDOW + 1))}], n)) AS f FROM n GROUP BY ALL),
 h AS (SELECT hit, floor(({secrets.WINDOW * round(__import__("math").log2(secrets.WINDOW) * 1_000_000)} - min(f)) / {secrets.WINDOW}) AS bits FROM t GROUP BY hit),
 a AS (SELECT b.* FROM b LEFT JOIN h USING (hit) WHERE no < 3 OR bits >= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {secrets.HEX_BITS} WHEN regexp_matches(hit, '^[A-Za-z0-9]+$') THEN {secrets.ALNUM_BITS} ELSE {secrets.BASE64_BITS} END),
-g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+g AS (SELECT r, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
              coalesce(string_agg(kind || ':' || s || ':' || t, ',' ORDER BY s, no) FILTER (no < 3), '') AS base, string_agg(kind || ':' || s || ':' || t, ',' ORDER BY s, no) AS spans
-      FROM a GROUP BY doc_id)
+      FROM a GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)""",
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
     "op10_winnow": r"""
-WITH fold AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
-        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM fold WHERE len(w) > 0)),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH fold AS (SELECT row_number() OVER () AS item, coalesce(CAST(item_id AS VARCHAR), '') AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, name, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+        FROM (SELECT item, name, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM fold WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 lens AS (SELECT DISTINCT n FROM win),
-spots AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
-       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
-occ AS (SELECT spots.doc_id, spots.n, spots.i, win.item_id FROM spots JOIN win USING (n, g)),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+spots AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+occ AS (SELECT spots.r, spots.n, spots.i, win.item, win.name FROM spots JOIN win USING (n, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM occ) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS s FROM (SELECT DISTINCT r, item, name FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }

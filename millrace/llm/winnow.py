@@ -8,11 +8,14 @@ hashes, so no shared span of that length is missed.  A hit is extended word by
 word to the longest shared run, which decides exactly.  Items shorter than a
 window are looked up whole, by the same step with k-grams of their own length.
 
-The benchmark is taken in chunks of at most ``CHUNK_WORDS`` words, so what
-tasks are sent is bounded; with more than one chunk, the marks gathered so far
+The benchmark is taken in chunks of at most ``CHUNK_WORDS`` words (or one longer
+item), so what tasks are sent is bounded; with more than one chunk, the marks gathered so far
 travel with the documents and are written to the shared folder in between.
 
-Defined cases: null text has no words; an item without words never occurs;
+Defined cases: null text has no words; very long texts are searched to their end;
+an item without words never occurs; an empty table of documents gives no rows;
+``decontaminate`` ignores columns but ``doc_id`` and ``text``, ``keep_clean`` keeps
+all, whatever their names;
 rows with equal ``doc_id`` or ``item_id`` each count (equal item_ids are listed
 once per row); a null ``item_id`` is written as an empty string; an empty
 benchmark leaves every document clean.
@@ -21,17 +24,20 @@ benchmark leaves every document clean.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import out_batch, shared_dir
+from .common import SLICE, out_batch, shared_dir
 
 WINDOW = 10
 K = 5
 CHUNK_WORDS = 2_000_000
+#: Pairs of places for each word of an item from which on they are compared all at once.
+DENSE = 8
 #: ASCII letters lower-cased; every other ASCII byte that is not a digit separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,12 +97,10 @@ class Index:
                 entries.setdefault(span, []).append((int(h[p]), slot, int(p)))
         self.tables = {}
         for span, rows in entries.items():
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            at: dict[int, list[tuple[int, int]]] = {}
+            at: dict[int, dict[int, list[int]]] = {}
             for key, slot, p in rows:
-                at.setdefault(key, []).append((slot, p))
-            self.tables[span] = (np.unique(keys), at)
+                at.setdefault(key, {}).setdefault(slot, []).append(p)
+            self.tables[span] = (np.array(sorted(at), np.uint64), at)
 
     def span(self, n: int) -> tuple[int, int, int]:
         """(gram length, grams a window, words a window) for an item of n words."""
@@ -123,24 +127,71 @@ class Index:
             if not len(live):
                 continue
             seq = seq if seq is not None else ids.tolist()
-            done: dict[tuple[int, int], int] = {}
+            met: dict[int, list[tuple[int, list[int]]]] = {}
             for p in live.tolist():
-                for slot, q in at[int(h[p])]:
-                    if p < done.get((slot, p - q), -1):
-                        continue
-                    item = self.items[slot][1]
-                    i, j = p, p
-                    while j < len(seq) and q + j - p < len(item) and seq[j] == item[q + j - p]:
-                        j += 1
-                    while i > 0 and q + i - p > 0 and seq[i - 1] == item[q + i - p - 1]:
-                        i -= 1
-                    done[slot, p - q] = max(j, p + 1)
-                    if j - i >= least:
-                        spans.add((i, j))
-                        found.add(self.items[slot][0])
+                for slot, places in at[int(h[p])].items():
+                    met.setdefault(slot, []).append((p, places))
+            for slot, pairs in met.items():
+                row, item = self.items[slot]
+                if sum(len(places) for _, places in pairs) <= DENSE * len(item):
+                    got = extended(seq, item, pairs, least)
+                else:  # repeated words: all places against all at once
+                    got = runs_of(ids, item, least)
+                if got:
+                    spans.update(got)
+                    found.add(row)
         return sorted(spans), found
 
 
+def extended(seq: list[int], item: list[int], pairs: list[tuple[int, list[int]]], least: int) -> set[tuple[int, int]]:
+    """Stretches of ``seq`` equal to ``item`` around pairs of places, of at least so many words; one try a diagonal and stretch."""
+    out: set[tuple[int, int]] = set()
+    done: dict[int, int] = {}
+    for p, places in pairs:
+        for q in places:
+            if p < done.get(p - q, -1):
+                continue
+            i, j = p, p
+            while j < len(seq) and q + j - p < len(item) and seq[j] == item[q + j - p]:
+                j += 1
+            while i > 0 and q + i - p > 0 and seq[i - 1] == item[q + i - p - 1]:
+                i -= 1
+            done[p - q] = max(j, p + 1)
+            if j - i >= least:
+                out.add((i, j))
+    return out
+
+
+def runs_of(ids: np.ndarray, item: list[int], least: int) -> set[tuple[int, int]]:
+    """The same stretches, from the lengths of equal runs that end at each pair of places: one pass over the item, arrays at a time."""
+    run, reach = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids), np.int64)
+    for word in item:
+        run[1:] = np.where(ids == word, run[:-1] + 1, 0)
+        np.maximum(reach, np.where(run[1:] >= least, run[1:], 0), out=reach)
+    ends = np.flatnonzero(reach)
+    if not len(ends):
+        return set()
+    # the stretches as their union: that is what counts
+    starts = ends - reach[ends] + 1
+    edge = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends + 1, -1)
+    inside = np.r_[0, (np.cumsum(edge[:-1]) > 0).astype(np.int8), 0]
+    turn = np.flatnonzero(np.diff(inside))
+    return set(zip(turn[::2].tolist(), turn[1::2].tolist()))
+
+
+#: Indexes of this worker by the chunk they were built from: a chunk is indexed once a worker, not once a task.
+_BUILT: dict[str, Index] = {}
+
+
+def indexed(key: str, items: list[tuple[int, list[bytes]]], window: int, k: int) -> Index:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index(items, window, k)
+    return _BUILT[key]
+
+
 def covered(spans: list[tuple[int, int]]) -> int:
     """Words inside any of the stretches."""
     total = end = 0
@@ -176,12 +227,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         final = final.append(pa.field("spans", pa.list_(pa.int64())))
 
     def search(items, last: bool):
-        sent = spark.sparkContext.broadcast(items)
+        sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches):
             names = [("" if name is None else str(name)) for name, _ in sent.value]
-            index = Index([(i, words) for i, (_, words) in enumerate(sent.value)], window, k)
-            for b in batches:
+            index = indexed(key, [(i, words) for i, (_, words) in enumerate(sent.value)], window, k)
+            for b in (w.slice(i, SLICE) for w in batches for i in range(0, w.num_rows, SLICE)):
                 cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
                 before = zip(cols["at"], cols["items"]) if "at" in cols else repeat(((), ()))
                 out = {n: [] for n in (final if last else state).names}
@@ -220,11 +271,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: i
     spark, at = docs.sparkSession, docs.columns.index("text")
 
     def without(items):
-        sent = spark.sparkContext.broadcast([words for _, words in items])
+        sent, key = spark.sparkContext.broadcast([words for _, words in items]), uuid.uuid4().hex
 
         def run(batches):
-            index = Index(list(enumerate(sent.value)), window, k)
-            for b in batches:
+            index = indexed(key, list(enumerate(sent.value)), window, k)
+            for b in (w.slice(i, SLICE) for w in batches for i in range(0, w.num_rows, SLICE)):
                 yield b.filter(pa.array([not index.hits(words_of(t))[1] for t in b.column(at).to_pylist()], pa.bool_()))
 
         return run

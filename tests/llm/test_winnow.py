@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from millrace.llm import winnow
@@ -65,3 +67,26 @@ def test_spans(spark):
     d = spark.createDataFrame([(1, "x y " + " ".join(words[5:18]) + " z")], "doc_id long, text string")
     b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert winnow.decontaminate(d, b, spans=True).first()["spans"] == [2, 15]
+
+
+def test_long_items_of_repeated_words(spark):
+    item = "x " * 3000
+    cases = ["x " * 5000, "y " + "x " * 9 + "y " + "x " * 4000 + "z", "x y " * 3000, "a b c " * 2000]
+    items = [(1, item), (2, "x y " * 2000), (3, "a b c " * 700 + "d"), (4, " ".join(f"w{i}" for i in range(50)))]
+    began = time.perf_counter()
+    index = winnow.Index([(i, winnow.words_of(t)) for i, t in items])
+    got = [(winnow.covered(spans), rows) for spans, rows in (index.hits(winnow.words_of(t)) for t in cases)]
+    assert got == [(5000, {1}), (4000, {1}), (6000, {2}), (6000, {3})]
+    assert time.perf_counter() - began < 20
+
+
+def test_both_ways_of_extending_agree():
+    rng = random.Random(3)
+    for _ in range(300):
+        item = [rng.choice([1, 1, 2]) for _ in range(rng.randint(3, 40))]
+        seq = [rng.choice([0, 1, 1, 2]) for _ in range(rng.randint(3, 60))]
+        every = [(p, list(range(len(item)))) for p in range(len(seq))]
+        got = winnow.runs_of(np.array(seq, np.uint64), item, 3)
+        want = winnow.extended(seq, item, every, 3)
+        inside = lambda s: {p for i, j in s for p in range(i, j)}
+        assert inside(got) == inside(want) and bool(got) == bool(want)
