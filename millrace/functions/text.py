@@ -72,12 +72,12 @@ def containment(a: Column, b: Column) -> Column:
 
 def any_keyword(text: Column, words: Sequence[str]) -> Column:
     low = F.lower(text)
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) if words else F.lit(False)
+    return F.exists(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w)) if words else F.lit(False)
 
 
 def all_keywords(text: Column, words: Sequence[str]) -> Column:
     low = F.lower(text)
-    return F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) if words else F.lit(True)
+    return F.forall(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.contains(low, w)) if words else F.lit(True)
 
 
 def batch_text(raw: Column) -> Column:

@@ -55,7 +55,7 @@ def token_jaccard(spark, d):
 
 @query(FEATURES + "SELECT doc_id, item_id, containment FROM hit WHERE containment >= 0.7")
 def ngram_containment(spark, d):
-    return op.pair_scores(*feature_tables(spark, d)).where("containment >= 0.7").select("doc_id", "item_id", "containment")
+    return op.close_pairs(*feature_tables(spark, d)).where("containment >= 0.7").select("doc_id", "item_id", "containment")
 
 
 @query(f"SELECT doc_id, {DN} AS norm, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS graded FROM documents")
