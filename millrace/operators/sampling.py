@@ -59,21 +59,38 @@ def apportion(df: DataFrame, weight: str, order: str, total: int, floor: int = 0
     return d.select(*df.columns, "share")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """The uniform draw of a row's key."""
+    return rng.draw(F.col(key).cast("long").bitwiseXOR(F.lit(seed).cast("long")), F.lit(1))
+
+
 def stratified_holdout(df: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:
-    """Marks about ``share`` of each stratum (one at least, one less than all at most), in order of a seeded draw."""
-    draw = rng.draw(F.col(key).cast("long").bitwiseXOR(F.lit(seed).cast("long")), F.lit(1))
-    w = W.partitionBy(stratum)
-    r = F.row_number().over(w.orderBy(draw, key))
-    quota = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), js_round(F.count("*").over(w) * share)), F.count("*").over(w) - 1))
-    return df.withColumn("split", F.when(r <= quota, "eval_iid").otherwise("train"))
+    """Marks about ``share`` of each stratum (one at least, one less than all at most), in order of a seeded draw.
+
+    No stratum is sorted as a whole: a histogram of the draws finds the range in
+    which a stratum's quota ends, and only the rows of that range are ordered.
+    Rows with equal keys go to one side together.
+    """
+    d = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_key"), seeded(key, seed).alias("_draw")).withColumn("_bucket", F.floor(F.col("_draw") * BUCKETS).cast("int"))
+    sizes = d.groupBy("_s", "_bucket").agg(F.count("*").alias("_size"))  # BUCKETS rows a stratum at most
+    n = sizes.groupBy("_s").agg(F.sum("_size").alias("_n"))
+    quota = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), js_round(F.col("_n") * share)), F.col("_n") - 1))
+    through = F.sum("_size").over(W.partitionBy("_s").orderBy("_bucket"))
+    run = sizes.withColumn("_through", through).alias("x").join(n.select("_s", quota.alias("_quota")).alias("y"), F.col("x._s").eqNullSafe(F.col("y._s"))).select("x.*", "_quota")
+    edge = run.where((F.col("_through") >= F.col("_quota")) & (F.col("_through") - F.col("_size") < F.col("_quota"))).select("_s", "_bucket", (F.col("_quota") - F.col("_through") + F.col("_size")).alias("_left"))
+    rows = d.alias("x").join(edge.alias("y"), F.col("x._s").eqNullSafe(F.col("y._s")) & (F.col("x._bucket") == F.col("y._bucket"))).select("x._s", "_draw", "_key", "_left")
+    last = rows.withColumn("_at", F.row_number().over(W.partitionBy("_s").orderBy("_draw", "_key"))).where("_at = _left").select("_s", F.struct("_draw", "_key").alias("_last"))
+    j = df.join(last, df[stratum].eqNullSafe(last["_s"]), "left")
+    held = F.struct(seeded(key, seed).alias("_draw"), F.col(key).alias("_key")) <= F.col("_last")
+    return j.withColumn("split", F.when(held, "eval_iid").otherwise("train")).drop("_s", "_last")
 
 
 def compositional_holdout(df: DataFrame, axes: Sequence[str], key: str, share: float, seed: int) -> DataFrame:
     """Rows whose combination of axis values is the only one while each value occurs elsewhere, up to a share of all.
 
-    Counts are those of the input; every chosen row lowers a value's count, so a
-    row is also left out when all other rows with one of its values were chosen
-    before it.
+    Counts are those of the input; every chosen row lowers a value's count, so
+    where all rows of a value could be chosen the last of them in order of the
+    draw stays out. Values are counted, never sorted.
     """
     sig = F.concat_ws("|", *axes)
     n = df.agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
@@ -84,11 +101,11 @@ def compositional_holdout(df: DataFrame, axes: Sequence[str], key: str, share: f
     ok = F.col("_same") == 1
     for a in axes:
         ok = ok & (F.col(f"_n_{a}") > 1)
-    draw = rng.draw(F.col(key).cast("long").bitwiseXOR(F.lit(seed).cast("long")), F.lit(1))
-    d = d.withColumn("_draw", draw).withColumn("_ok", ok)
+    d = d.withColumn("_draw", seeded(key, seed)).withColumn("_ok", ok)
+    place = F.struct("_draw", key)
     for a in axes:  # at least one row of the value stays
-        w = W.partitionBy(a, "_ok").orderBy("_draw", key)
-        d = d.withColumn("_ok", F.col("_ok") & (F.row_number().over(w) < F.col(f"_n_{a}")))
+        free = d.where("_ok").groupBy(a).agg(F.count("*").alias("_free"), F.max(place).alias("_late"))
+        d = d.join(free, a, "left").withColumn("_ok", F.col("_ok") & ~((F.col("_free") == F.col(f"_n_{a}")) & (place == F.col("_late")))).drop("_free", "_late")
     chosen = number_rows(d.where("_ok"), "_draw", [key], "_place").withColumn("_one", F.lit(1))
     chosen = chosen.join(F.broadcast(n), "_one").where(F.col("_place") < js_round(F.col("_all") * share)).select(F.col(key).alias("_held"))
     return df.join(chosen, df[key] == chosen["_held"], "left").withColumn("split", F.when(F.col("_held").isNotNull(), "eval_compositional").otherwise("train")).drop("_held")
