@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import amounts
-from .text import first_json_block
+from .text import first_json_block, js_round, let
 
 # Spellings of date hints.
 HINTS = {
@@ -30,11 +30,35 @@ def date_hint(value: Column) -> Column:
 
 
 def confidence(value: Column) -> Column:
-    """high, medium or low, from the word or a number; anything else is medium."""
+    """high, medium or low, from the word or a number; anything else is medium. Null and blank text count as 0."""
     n = F.when(value.isNull() | (F.trim(value) == ""), 0.0).otherwise(value.try_cast("double"))
     return F.when(value.isin("high", "medium", "low"), value).when(n >= 0.8, "high").when(n >= 0.5, "medium").when(n.isNull() | F.isnan(n), "medium").otherwise("low")
 
 
+def kind_of(v: Column) -> Column:
+    """missing, VOID (a JSON null), BOOLEAN, STRING, NUMBER, ARRAY or OBJECT of a JSON value (a variant)."""
+    kind = F.schema_of_variant(v)
+    found = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "NUMBER").otherwise(F.regexp_extract(kind, "^([A-Z]+)", 1))
+    return F.when(v.isNull(), "missing").otherwise(found)
+
+
+def confidence_of(v: Column) -> Column:
+    """confidence() of a JSON value: a missing one is medium, null is low, an array counts as its only element."""
+    def judged(k: Column) -> Column:
+        said = F.try_variant_get(v, "$", "string")
+        items = F.try_variant_get(v, "$", "array<string>")
+        listed = F.when(F.size(items) == 0, "low").when(F.size(items) == 1, confidence(F.get(items, F.lit(0)))).otherwise("medium")
+        return F.when(k == "missing", "medium").when(k == "VOID", "low").when(k == "BOOLEAN", F.when(said == "true", "high").otherwise("low")).when(k == "ARRAY", listed).when(k == "OBJECT", "medium").otherwise(confidence(said))
+
+    return let(kind_of(v), judged)
+
+
+def amount_of(v: Column) -> Column:
+    """The amount of a JSON value: a number is rounded, half up; text is read leniently."""
+    said = F.try_variant_get(v, "$", "string")
+    return F.when(kind_of(v) == "NUMBER", js_round(F.try_variant_get(v, "$", "double"))).otherwise(amounts.lenient_amount(said))
+
+
 def direction(value: Column) -> Column:
     return F.when(F.trim(F.lower(F.coalesce(value, F.lit("")))).isin(INCOME_WORDS), "pemasukan").otherwise("pengeluaran")
 
@@ -48,20 +72,40 @@ def truthy(v: Column) -> Column:
 
 def lenient_label(content: Column) -> Column:
     """A label struct from a model's answer: block found, keys by any of their names, values coerced; null if unreadable."""
-    doc = F.try_parse_json(first_json_block(content))
-    get = lambda v, path, kind="string": F.try_variant_get(v, f"$.{path}", kind)
-    raw = F.coalesce(*(F.try_variant_get(doc, f"$.{k}", "array<variant>") for k in ("entries", "transaksi", "transactions")), F.array().cast("array<variant>"))
+    return read_label(content)["label"]
+
+
+def read_label(content: Column) -> Column:
+    """label and parse_error: why an answer can't be read (no_json, not_an_object, entry_not_an_object), else null.
+
+    The first of the keys for entries that isn't null counts; what isn't a list is
+    no entries. A flag that isn't true or false means: there are no entries.
+    """
+    at = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant")
+    present = lambda v: F.when(~kind_of(v).isin("missing", "VOID"), v)
+    words = lambda v, path: F.try_variant_get(v, f"$.{path}", "string")
 
     def entry(e: Column) -> Column:
         return F.struct(
-            direction(get(e, "type")).alias("type"), date_hint(get(e, "tanggal_hint")).alias("tanggal_hint"),
-            F.coalesce(get(e, "deskripsi"), get(e, "description"), F.lit("")).alias("deskripsi"),
-            amounts.lenient_amount(F.coalesce(get(e, "jumlah"), get(e, "amount"))).alias("jumlah"), get(e, "kategori").alias("kategori"), get(e, "vendor").alias("vendor"),
-            confidence(get(e, "confidence")).alias("confidence"), truthy(F.try_variant_get(e, "$.ambigu", "variant")).alias("ambigu"), get(e, "catatan_ambigu").alias("catatan_ambigu"))
-
-    entries = F.transform(raw, entry)
-    flag = F.coalesce(F.try_variant_get(doc, "$.bukan_transaksi", "boolean"), F.size(entries) == 0)
-    return F.when(doc.isNotNull(), F.struct(entries.alias("entries"), flag.alias("bukan_transaksi"), get(doc, "ringkasan").alias("ringkasan")))
+            direction(words(e, "type")).alias("type"), date_hint(words(e, "tanggal_hint")).alias("tanggal_hint"),
+            F.coalesce(words(e, "deskripsi"), words(e, "description"), F.lit("")).alias("deskripsi"),
+            let(F.coalesce(present(at(e, "jumlah")), present(at(e, "amount"))), amount_of).alias("jumlah"), words(e, "kategori").alias("kategori"), words(e, "vendor").alias("vendor"),
+            confidence_of(at(e, "confidence")).alias("confidence"), truthy(at(e, "ambigu")).alias("ambigu"), words(e, "catatan_ambigu").alias("catatan_ambigu"))
+
+    def read(doc: Column) -> Column:
+        listed = F.coalesce(*(present(at(doc, k)) for k in ("entries", "transaksi", "transactions")))
+        raw = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
+        return let(raw, lambda r: whole(doc, r))
+
+    def whole(doc: Column, raw: Column) -> Column:
+        flag = at(doc, "bukan_transaksi")
+        odd = F.exists(raw, lambda e: ~kind_of(e).isin("OBJECT", "ARRAY"))
+        error = F.when(doc.isNull(), "no_json").when(~kind_of(doc).isin("OBJECT", "ARRAY"), "not_an_object").when(odd, "entry_not_an_object")
+        said = F.when(kind_of(flag) == "BOOLEAN", F.try_variant_get(flag, "$", "boolean")).otherwise(F.size(raw) == 0)
+        label = F.struct(F.transform(raw, entry).alias("entries"), said.alias("bukan_transaksi"), words(doc, "ringkasan").alias("ringkasan"))
+        return F.struct(F.when(error.isNull(), label).alias("label"), error.alias("parse_error"))
+
+    return let(F.try_parse_json(first_json_block(content)), read)
 
 
 def unknown_keys(json: Column) -> Column:
