@@ -32,21 +32,24 @@ def tokenize_amounts(spark, d):
     return t.select("o_orderkey", F.array_join(F.transform("a", lambda x: F.concat(x["kind"], F.lit("="), x["value"].cast("string"), F.lit("@"), x["start"].cast("string"))), ",").alias("atoms"))
 
 
-@query(CHATS + """, a AS (SELECT o_orderkey, v, CASE WHEN o_orderkey % 3 = 0 THEN 10000 ELSE 50000 END AS w, CASE WHEN o_orderkey % 4 = 0 THEN v WHEN o_orderkey % 4 = 1 THEN v * 3 WHEN o_orderkey % 4 = 2 THEN v + CASE WHEN o_orderkey % 3 = 0 THEN 10000 ELSE 50000 END ELSE 7 END AS wanted FROM s WHERE v >= 100)
-SELECT o_orderkey, wanted, CASE WHEN wanted IN (v, w) THEN 'direct' WHEN (wanted % v = 0 AND wanted // v BETWEEN 2 AND 12) OR (wanted % w = 0 AND wanted // w BETWEEN 2 AND 12) OR wanted = v + w OR (wanted = abs(v - w) AND wanted > 0) THEN 'derived' ELSE 'none' END AS tier FROM a""")
+@query(CHATS + """, a AS (SELECT o_orderkey, v, v >= 100 OR kind IN ('rp', 'suffix') AS named, CASE WHEN o_orderkey % 3 = 0 THEN 10000 ELSE 50000 END AS w, CASE WHEN o_orderkey % 4 = 0 THEN v WHEN o_orderkey % 4 = 1 THEN v * 3 WHEN o_orderkey % 4 = 2 THEN v + CASE WHEN o_orderkey % 3 = 0 THEN 10000 ELSE 50000 END ELSE 7 END AS wanted FROM s),
+t AS (SELECT *, wanted = w OR (named AND wanted = v) AS direct, coalesce(named AND v > 0 AND wanted % nullif(v, 0) = 0 AND wanted // nullif(v, 0) BETWEEN 2 AND 12, false) AS times_v, wanted % w = 0 AND wanted // w BETWEEN 2 AND 12 AS times_w, named AND (wanted = v + w OR (wanted = abs(v - w) AND wanted > 0)) AS pair FROM a)
+SELECT o_orderkey, wanted, CASE WHEN direct THEN 'direct' WHEN times_v OR times_w OR pair THEN 'derived' ELSE 'none' END AS tier,
+CASE WHEN direct THEN NULL WHEN times_v THEN v || '×' || (wanted // v) WHEN named AND wanted = v + w THEN v || '+' || w WHEN named AND wanted = abs(v - w) AND wanted > 0 THEN '|' || v || '-' || w || '|' WHEN times_w THEN w || '×' || (wanted // w) END AS via FROM t""")
 def trace_amount(spark, d):
     k = F.col("o_orderkey") % 4
     other = F.when(F.col("o_orderkey") % 3 == 0, 10_000).otherwise(50_000)
     wanted = F.when(k == 0, F.col("v")).when(k == 1, F.col("v") * 3).when(k == 2, F.col("v") + other).otherwise(7).cast("long")
-    t = chats(spark, d).where("v >= 100").select("o_orderkey", wanted.alias("wanted"), fn.amount_atoms(F.col("text")).alias("a"))
-    return t.select("o_orderkey", "wanted", fn.trace(F.col("wanted"), F.col("a"))["tier"].alias("tier"))
+    t = chats(spark, d).select("o_orderkey", wanted.alias("wanted"), fn.amount_atoms(F.col("text")).alias("a"))
+    t = t.select("o_orderkey", "wanted", fn.trace(F.col("wanted"), F.col("a")).alias("t"))
+    return t.select("o_orderkey", "wanted", "t.tier", F.when(F.col("t.tier") == "derived", F.col("t.via")).alias("via"))
 
 
-@query(CHATS + """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN v = 50000 OR v < 100 THEN '' ELSE '50000' END AS unexcused FROM s""")
+@query(CHATS + """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR v = 50000 THEN '' ELSE '50000' END AS unexcused FROM s""")
 def excuse_window(spark, d):
     t = chats(spark, d).select("o_orderkey", "v", "text", fn.amount_atoms(F.col("text")).alias("a"))
     left = fn.unexcused(F.col("text"), F.col("a"), F.array("v"))
-    return t.select("o_orderkey", F.when(F.col("v") < 100, "").otherwise(F.array_join(F.transform(left, lambda x: x["value"].cast("string")), ",")).alias("unexcused"))
+    return t.select("o_orderkey", F.array_join(F.transform(left, lambda x: x["value"].cast("string")), ",").alias("unexcused"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS item, CAST(floor(o_totalprice / 250) * 250 AS BIGINT) AS value FROM orders GROUP BY 1, 2), f AS (SELECT value, count(*) AS df FROM a GROUP BY 1)
@@ -56,16 +59,9 @@ def distinctive_amounts(spark, d):
     return a.groupBy("value").agg(F.count("*").alias("df")).withColumn("distinctive", fn.distinctive(F.col("value"), F.col("df")))
 
 
-@query(CHATS + """SELECT o_orderkey, v AS parsed FROM s WHERE kind IN ('bare', 'dot', 'rp')""")
+@query(CHATS + "SELECT o_orderkey, v AS parsed FROM s")
 def lenient_amount(spark, d):
-    c = chats(spark, d).where("k in (0, 1, 2, 5) or (k = 3 and (v % 1000 <> 0 or v >= 1000000)) or (k = 4 and v >= 1000000)")
-    said = F.regexp_extract("text", "^beli beras 5 kg ((?:Rp )?[0-9.]+)", 1)
-    return c.select("o_orderkey", fn.lenient_amount(said).alias("parsed"))
-
-
-@query()
-def lenient_amount_all(spark, d):
-    """The amount of every message, suffixes too; tested against the amounts they were rendered from."""
+    """The amount of every message, suffixes too, against the amounts they were rendered from."""
     said = F.regexp_extract("text", "^beli beras 5 kg (.*?)(?: eh bukan, ceban| sama seket ewu buat teh)$", 1)
     return chats(spark, d).select("o_orderkey", fn.lenient_amount(said).alias("parsed"))
 
@@ -104,9 +100,9 @@ def renderable_ladder(spark, d):
     return ladder.select("v", F.inline(each)).where(F.col("surface").isNotNull()).select("v", "notation")
 
 
-@query(CHATS + """SELECT o_orderkey, v, CAST(v AS DOUBLE) AS direct, CASE WHEN v % 1000 = 0 THEN v / 1000 ELSE v / 1000 END AS decimal_comma FROM s WHERE v < 1000000""")
+@query(CHATS + """SELECT o_orderkey, v, CAST(v AS DOUBLE) AS direct, CASE WHEN v < 1000000 THEN v / 1000 END AS decimal_comma FROM s""")
 def numeric_parse(spark, d):
-    c = chats(spark, d).where("v < 1000000")
+    c = chats(spark, d)
     as_k = F.regexp_replace(fn.render(F.col("v"), "k_suffix"), "k$", "")
     return c.select("o_orderkey", "v", fn.number(fn.dotted(F.col("v")))[0].alias("direct"), fn.number(as_k)[0].alias("decimal_comma"))
 

@@ -64,13 +64,27 @@ def principal(o):
     return sum(out) == total or (total - 500 in out and 500 in out)
 
 
+def merged(o):
+    top = max(w["jumlah"] for w in o["want"])
+    got = [g["jumlah"] for g in o["got"]]
+    return got.count(top) == len(o["want"]) or bool(got) and sum(got) == top * len(o["want"])
+
+
+def own_share(o):
+    wanted = [w["jumlah"] for w in o["want"]]
+    whole = next((g for g in o["got"] if g["jumlah"] == max(wanted)), None)
+    return any(g["jumlah"] == min(wanted) for g in o["got"]) or bool(whole and whole["ambigu"])
+
+
 def test_alt_strict_of_every_order(spark, orders):
-    want = Counter((o["l_orderkey"], principal(o)) for o in orders)
-    assert {p for _, p in want} == {True, False} and rows(spark, "alt_strict_all") == want
+    want = Counter((o["l_orderkey"], principal(o), merged(o), own_share(o)) for o in orders)
+    for at in (1, 2, 3):
+        assert {k[at] for k in want} == {True, False}
+    assert rows(spark, "alt_strict") == want
 
 
 def test_strict_credit_and_copies_of_every_order(spark, orders):
     assert any(len({w["n"] for w in o["want"]}) < len(o["want"]) for o in orders)
-    assert rows(spark, "strict_pass_all") == Counter((o["l_orderkey"], strict(o)) for o in orders)
-    assert rows(spark, "price_copy_all") == Counter((o["l_orderkey"], copied(o)) for o in orders)
-    assert rows(spark, "partial_credit_all") == Counter((o["l_orderkey"], w["n"], credit(g, w)) for o in orders for w in o["want"] for g in o["got"] if g["n"] == -w["n"])
+    assert rows(spark, "strict_pass") == Counter((o["l_orderkey"], strict(o)) for o in orders)
+    assert rows(spark, "price_copy") == Counter((o["l_orderkey"], copied(o)) for o in orders)
+    assert rows(spark, "partial_credit") == Counter((o["l_orderkey"], w["n"], credit(g, w)) for o in orders for w in o["want"] for g in o["got"] if g["n"] == -w["n"])
