@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import all_keywords
+from millrace.functions.text import all_keywords, any_keyword
 
 INCOME, EXPENSE = "pemasukan", "pengeluaran"
 
@@ -62,12 +61,16 @@ def deduplicate(ledger: DataFrame, key: Sequence[str] = tuple(DUPLICATE_KEY)) ->
 
 
 def anomalies(ledger: DataFrame, times: float = 3.0, large: int = 300_000) -> DataFrame:
-    """Rows with a flag: spike (over so many times the mean of their org and type), no_receipt, weekend_large."""
+    """Rows with a flag: spike (over so many times the mean of their org and type), no_receipt, weekend_large,
+    wrong_org_maybe (the vendor has over twice as many rows in another org)."""
     mean = ledger.groupBy("org_id", "type").agg(F.sum("jumlah").alias("s"), F.count("*").alias("n"))
+    here = ledger.groupBy("vendor", "org_id").agg(F.count("*").alias("here"))
+    usual = here.join(here.groupBy("vendor").agg(F.max("here").alias("most")), "vendor")
     spike = F.col("jumlah") * F.col("n") > F.col("s") * F.lit(times)
     weekend = F.dayofweek(F.to_date("tanggal")).isin(1, 7) & (F.col("jumlah") >= large)
-    flags = F.array_compact(F.array(F.when(spike, "spike"), F.when(F.col("catatan") == "NO_RECEIPT", "no_receipt"), F.when(weekend, "weekend_large")))
-    return ledger.join(mean, ["org_id", "type"]).withColumn("flags", F.array_join(flags, ",")).where("flags <> ''").drop("s", "n")
+    flags = F.array_compact(F.array(F.when(spike, "spike"), F.when(F.col("catatan") == "NO_RECEIPT", "no_receipt"), F.when(weekend, "weekend_large"), F.when(F.col("here") * 2 < F.col("most"), "wrong_org_maybe")))
+    j = ledger.join(mean, ["org_id", "type"]).join(usual, ["vendor", "org_id"], "left")
+    return j.withColumn("flags", F.array_join(flags, ",")).where("flags <> ''").drop("s", "n", "here", "most")
 
 
 def latest(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -83,15 +86,53 @@ def has_amount(ledger: DataFrame, type_: str, amount: int, needles: Sequence[str
     return F.coalesce(F.max((F.col("type") == type_) & (F.col("jumlah") == amount) & all_keywords(text, needles)), F.lit(False))
 
 
+def no_amount(amount: int, type_: str | None = None) -> Column:
+    """An aggregate: no row carries the amount (and type)."""
+    hit = F.col("jumlah") == amount
+    return ~F.coalesce(F.max(hit if type_ is None else hit & (F.col("type") == type_)), F.lit(False))
+
+
+def has_vendor(needle: str, amount: int | None = None) -> Column:
+    """An aggregate: does any row name it in vendor or description (and carry the amount)?"""
+    text = F.lower(F.concat_ws(" ", F.coalesce("vendor", F.lit("")), F.coalesce("deskripsi", F.lit(""))))
+    hit = F.contains(text, F.lit(needle.lower()))
+    return F.coalesce(F.max(hit if amount is None else hit & (F.col("jumlah") == amount)), F.lit(False))
+
+
+def mentions(text: Column, any_of: Sequence[str]) -> Column:
+    """An aggregate: does any text hold any of the phrases?"""
+    return F.coalesce(F.max(any_keyword(F.coalesce(text, F.lit("")), any_of)), F.lit(False))
+
+
+def _among(whole: int):
+    return lambda m: m.isin(whole, 5_000)
+
+
 def amounts_ok(have: Column, needed: Sequence[int]) -> Column:
-    """All needed amounts are there; 20000 or 15000 may be there as 4 or 3 times 5000 instead."""
-    want = F.array(*(F.lit(n).cast("long") for n in needed))
+    """Are all needed amounts in the array, repeats included?
+
+    20000 and 15000 may be there as 4 and 3 rows of 5000; then only that amount and 5000 may be missing.
+    """
     fives = F.size(F.filter(have, lambda x: x == 5_000))
-    soft = F.lit(False)
+    missing = F.array_except(F.array(*(F.lit(n).cast("long") for n in needed)), have)
+    ok = F.size(missing) == 0
     for whole, n in ((20_000, 4), (15_000, 3)):
         if whole in needed:
-            soft = soft | (F.size(F.array_except(want, F.concat(have, F.array(F.lit(whole).cast("long"))))).__eq__(0) & (fives >= n))
-    return (F.size(F.array_except(want, have)) == 0) | soft
+            there = F.array_contains(have, F.lit(whole).cast("long")) | (fives >= n)
+            ok = ok | (there & F.forall(missing, _among(whole)))
+    return ok
+
+
+def org_leaks(ledger: DataFrame, seed: DataFrame, org: str = "org_id") -> DataFrame:
+    """org, rows now, rows of the seed, and whether the org gained none."""
+    now, base = ledger.groupBy(org).agg(F.count("*").alias("n_rows")), seed.groupBy(org).agg(F.count("*").alias("baseline"))
+    j = now.join(base, org, "left").withColumn("baseline", F.coalesce("baseline", F.lit(0)))
+    return j.select(org, "n_rows", "baseline", (F.col("n_rows") <= F.col("baseline")).alias("isolated"))
+
+
+def seeded(ledger: DataFrame, seeds: DataFrame, key: str = "id") -> DataFrame:
+    """The ledger and the seed rows whose key it doesn't have: insert or ignore."""
+    return ledger.unionByName(seeds.join(ledger.select(key), key, "left_anti").dropDuplicates([key]).select(ledger.columns))
 
 
 def assert_score(passed: Column, total: Column) -> Column:
@@ -111,7 +152,3 @@ def import_statement(rows: DataFrame, org: str | None = None) -> DataFrame:
     if org:
         kept = kept.where(F.col("org_hint") == org)
     return kept.select("tanggal", F.col("keterangan").alias("deskripsi"), F.abs("jumlah").cast("long").alias("jumlah"), F.when(F.col("arah") == INCOME, INCOME).otherwise(EXPENSE).alias("type"))
-
-
-def rank_within(df: DataFrame, key: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)))

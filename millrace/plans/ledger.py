@@ -36,10 +36,11 @@ def period_over_period(spark, d):
     return ledger(spark, d).groupBy("org_id").agg(op.sum_if(now).alias("this_period"), op.sum_if(before).alias("last_period"), (op.sum_if(now) - op.sum_if(before)).alias("change"))
 
 
-@query(L + """SELECT org_id, count(*) FILTER (org_id <> 'BUILDING') AS foreign_rows, count(*) FILTER (org_id <> 'BUILDING') <= 0 AS isolated FROM ledger GROUP BY org_id""")
+@query(L + """SELECT vendor, count(*) AS n_rows, count(*) FILTER (tanggal < '1997-06-01') AS baseline, count(*) <= count(*) FILTER (tanggal < '1997-06-01') AS isolated FROM ledger GROUP BY vendor""")
 def org_isolation(spark, d):
-    foreign = F.count(F.when(F.col("org_id") != "BUILDING", 1))
-    return ledger(spark, d).groupBy("org_id").agg(foreign.alias("foreign_rows"), (foreign <= 0).alias("isolated"))
+    """Customers as tenants; rows up to a date are the seed, and no tenant may gain any."""
+    led = ledger(spark, d)
+    return op.org_leaks(led, led.where("tanggal < '1997-06-01'"), "vendor")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) + 0.5) AS BIGINT) AS r FROM lineitem GROUP BY 1),
@@ -61,26 +62,50 @@ def csv_sum_matches_ledger(spark, d):
     return a.join(b, "k").select("csv_rows", "ledger_rows", "csv_total", "ledger_total", ((F.col("csv_rows") == F.col("ledger_rows")) & (F.col("csv_total") == F.col("ledger_total"))).alias("ok"))
 
 
-@query("""SELECT user_id AS org_id, event_type AS type, CAST(floor(value) AS BIGINT) AS jumlah, min(event_id) AS id, count(*) AS copies FROM events GROUP BY 1, 2, 3""")
+@query(L + """SELECT org_id, type, jumlah // 100000 * 100000 AS jumlah, tanggal, deskripsi, source, min(id) AS id, count(*) AS copies FROM ledger GROUP BY ALL""")
 def duplicate_posts(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("org_id"), F.col("event_type").alias("type"), F.floor("value").cast("long").alias("jumlah"))
-    return op.deduplicate(e, ["org_id", "type", "jumlah"])
+    """By the whole key; amounts are coarse, so that some rows repeat."""
+    led = ledger(spark, d).withColumn("jumlah", (F.floor(F.col("jumlah") / 100_000) * 100_000).cast("long"))
+    return op.deduplicate(led).select(*op.DUPLICATE_KEY, "id", "copies")
 
 
-@query(L + """, m AS (SELECT org_id, type, sum(jumlah) AS s, count(*) AS n FROM ledger GROUP BY 1, 2)
+@query(L + """, v AS (SELECT * REPLACE ('v' || CAST(regexp_extract(vendor, '(\\d+)$', 1) AS INTEGER) % 200 AS vendor) FROM ledger), m AS (SELECT org_id, type, sum(jumlah) AS s, count(*) AS n FROM v GROUP BY 1, 2),
+h AS (SELECT vendor, org_id, count(*) AS here, max(count(*)) OVER (PARTITION BY vendor) AS most FROM v GROUP BY 1, 2)
 SELECT * FROM (SELECT id, org_id, type, jumlah, tanggal, concat_ws(',', CASE WHEN jumlah * n > s * 1.75 THEN 'spike' END, CASE WHEN catatan = 'NO_RECEIPT' THEN 'no_receipt' END,
-CASE WHEN dayofweek(CAST(tanggal AS DATE)) IN (0, 6) AND jumlah >= 150000 THEN 'weekend_large' END) AS flags FROM ledger JOIN m USING (org_id, type)) WHERE flags <> ''""")
+CASE WHEN dayofweek(CAST(tanggal AS DATE)) IN (0, 6) AND jumlah >= 150000 THEN 'weekend_large' END, CASE WHEN here * 2 < most THEN 'wrong_org_maybe' END) AS flags FROM v JOIN m USING (org_id, type) JOIN h USING (vendor, org_id)) WHERE flags <> ''""")
 def anomaly_flags(spark, d):
-    return op.anomalies(ledger(spark, d), 1.75, 150_000).select("id", "org_id", "type", "jumlah", "tanggal", "flags")
+    """Vendors are taken together, so that one trades with several organisations."""
+    led = ledger(spark, d).withColumn("vendor", F.concat(F.lit("v"), (F.regexp_extract("vendor", r"(\d+)$", 1).cast("int") % 200).cast("string")))
+    return op.anomalies(led, 1.75, 150_000).select("id", "org_id", "type", "jumlah", "tanggal", "flags")
 
 
-@query(L + """SELECT org_id, count(*) AS n_rows, count(*) FILTER (ambigu) >= 1 AS has_ambigu, bool_or(contains(vendor, '#000000001')) AS has_vendor,
-bool_or(type = 'pemasukan' AND jumlah > 100000 AND contains(deskripsi, 'urgent')) AS has_amount, count(*) = 0 AS no_rows,
-CAST(floor(40.0 * (CAST(count(*) FILTER (ambigu) >= 1 AS INT) + CAST(bool_or(contains(vendor, '#000000001')) AS INT)) / 2 + 0.5) AS BIGINT) AS score FROM ledger GROUP BY org_id""")
+def monthly(spark, d):
+    """The ledger with its month and coarse amounts, 0 to 45000 in steps of 5000."""
+    return ledger(spark, d).withColumn("month", F.substring("tanggal", 1, 7)).withColumn("jumlah", (F.floor(F.col("jumlah") / 50_000) * 5_000).cast("long"))
+
+
+MONTHLY = L + ", m AS (SELECT * REPLACE (jumlah // 50000 * 5000 AS jumlah), substr(tanggal, 1, 7) AS month FROM ledger)\n"
+
+
+@query(MONTHLY + """SELECT org_id, month, count(*) AS n_rows, count(*) = 4 AS row_count, count(*) FILTER (catatan = 'NO_RECEIPT') = 0 AS no_posted_rows, bool_or(type = 'pemasukan' AND jumlah = 15000 AND contains(deskripsi || ' ' || vendor, 'urgent')) AS has_amount,
+NOT bool_or(jumlah = 35000 AND type = 'pengeluaran') AS no_amount, NOT bool_or(jumlah = 40000) AS no_amount_any, count(*) FILTER (ambigu) >= 2 AS has_ambigu, bool_or(contains(vendor || ' ' || deskripsi, '7')) AS has_vendor, bool_or(contains(vendor || ' ' || deskripsi, '-high') AND jumlah = 10000) AS has_vendor_amount,
+CAST(floor(40.0 * (CAST(count(*) FILTER (ambigu) >= 2 AS INT) + CAST(bool_or(contains(vendor || ' ' || deskripsi, '7')) AS INT)) / 2 + 0.5) AS BIGINT) AS score FROM m GROUP BY org_id, month""")
 def ledger_asserts(spark, d):
-    ambigu, vendor = F.count(F.when(F.col("ambigu"), 1)) >= 1, F.max(F.contains("vendor", F.lit("#000000001")))
-    amount = F.max((F.col("type") == op.INCOME) & (F.col("jumlah") > 100_000) & F.contains("deskripsi", F.lit("urgent")))
-    return ledger(spark, d).groupBy("org_id").agg(F.count("*").alias("n_rows"), ambigu.alias("has_ambigu"), vendor.alias("has_vendor"), amount.alias("has_amount"), (F.count("*") == 0).alias("no_rows"), op.assert_score(ambigu.cast("int") + vendor.cast("int"), F.lit(2)).alias("score"))
+    """Asserts over the rows of each organisation and month."""
+    ambigu, vendor = F.count(F.when(F.col("ambigu"), 1)) >= 2, op.has_vendor("7")
+    return monthly(spark, d).groupBy("org_id", "month").agg(
+        F.count("*").alias("n_rows"), (F.count("*") == 4).alias("row_count"), (F.count(F.when(F.col("catatan") == "NO_RECEIPT", 1)) == 0).alias("no_posted_rows"), op.has_amount(None, op.INCOME, 15_000, ["Urgent"]).alias("has_amount"),
+        op.no_amount(35_000, op.EXPENSE).alias("no_amount"), op.no_amount(40_000).alias("no_amount_any"), ambigu.alias("has_ambigu"), vendor.alias("has_vendor"), op.has_vendor("-HIGH", 10_000).alias("has_vendor_amount"),
+        op.assert_score(ambigu.cast("int") + vendor.cast("int"), F.lit(2)).alias("score"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) FILTER (o_orderkey % 7 = 0) >= 1 AS ambigu FROM orders GROUP BY 1), r AS (SELECT conv_id AS k, bool_or(contains(lower(text), 'the') OR contains(lower(text), 'que')) AS asked FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT k, coalesce(ambigu, false) OR coalesce(asked, false) AS ok FROM a FULL OUTER JOIN r USING (k)""")
+def ambigu_or_ask(spark, d):
+    """An ambiguous row, or a reply that asks; customers and conversations share numbers."""
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.count(F.when(F.col("o_orderkey") % 7 == 0, 1)) >= 1).alias("ambigu"))
+    said = table(spark, d, "conversations").where("role = 'assistant'").groupBy(F.col("conv_id").alias("k")).agg(op.mentions(F.col("text"), ["The", "que"]).alias("asked"))
+    return rows.join(said, "k", "full_outer").select("k", (F.coalesce("ambigu", F.lit(False)) | F.coalesce("asked", F.lit(False))).alias("ok"))
 
 
 @query("""WITH c AS (SELECT user_id AS id, event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, value FROM events)
@@ -105,6 +130,29 @@ def statement_import(spark, d):
     return op.import_statement(rows, "yayasan")
 
 
-@query(L + """SELECT org_id, list_has_all(list(jumlah % 10), [1, 2, 3]::BIGINT[]) AS ok FROM ledger GROUP BY org_id""")
+@query(MONTHLY + """, v AS (SELECT org_id, month, list(DISTINCT jumlah) AS have, count(*) FILTER (jumlah = 5000) AS fives FROM m GROUP BY 1, 2), x AS (SELECT *, list_filter([20000, 15000, 10000], lambda n: NOT list_contains(have, n)) AS missing FROM v)
+SELECT org_id, month, len(missing) = 0 OR ((list_contains(have, 20000) OR fives >= 4) AND len(list_filter(missing, lambda x: x NOT IN (20000, 5000))) = 0) OR ((list_contains(have, 15000) OR fives >= 3) AND len(list_filter(missing, lambda x: x NOT IN (15000, 5000))) = 0) AS ok FROM x""")
 def amounts_set(spark, d):
-    return ledger(spark, d).groupBy("org_id").agg(F.collect_set(F.col("jumlah") % 10).alias("have")).select("org_id", op.amounts_ok(F.col("have"), [1, 2, 3]).alias("ok"))
+    """Are the wanted amounts there, in whole or as rows of 5000?"""
+    each = monthly(spark, d).groupBy("org_id", "month", F.col("jumlah").alias("value")).agg(F.count("*").alias("n"))
+    # few distinct amounts, and of each no more copies than the rule asks for
+    have = each.groupBy("org_id", "month").agg(F.flatten(F.collect_list(F.array_repeat("value", F.least("n", F.lit(4)).cast("int")))).alias("have"))
+    return have.select("org_id", "month", op.amounts_ok(F.col("have"), [20_000, 15_000, 10_000]).alias("ok"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'yayasan' ELSE 'pribadi' END AS org, count(*) AS lines, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0) AS gained FROM orders GROUP BY 1""")
+def import_gains(spark, d):
+    """Rows that each tenant gains from a statement imported for one of them: the others none."""
+    k = F.col("o_orderkey") % 4
+    total = F.floor(F.col("o_totalprice") + 0.5).cast("long")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("tanggal"), F.col("o_orderkey").cast("string").alias("keterangan"), F.when(k == 1, total).otherwise(-total).alias("jumlah"), F.when(k == 0, "internal").when(k == 1, "pemasukan").otherwise("pengeluaran").alias("arah"), F.when(F.col("o_orderkey") % 3 == 0, "yayasan").otherwise("pribadi").alias("org_hint"))
+    taken = op.import_statement(rows, "yayasan").select(F.col("deskripsi").alias("keterangan"), F.lit(1).alias("got"))
+    return rows.join(taken, "keterangan", "left").groupBy(F.col("org_hint").alias("org")).agg(F.count("*").alias("lines"), F.count("got").alias("gained"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'seed' FROM orders WHERE o_orderkey % 5 = 0""")
+def seed_rows(spark, d):
+    """Seeds are inserted where the table has no such key, else ignored."""
+    o = table(spark, d, "orders")
+    have = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return op.seeded(have, o.select(F.col("o_orderkey").alias("id"), F.lit("seed").alias("status")))
