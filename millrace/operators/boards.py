@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.text import js_round
+
 
 def newest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest order columns: an aggregation, so partial before the shuffle."""
@@ -32,6 +34,22 @@ def public_score(det: Column, following: Column) -> Column:
     return F.floor(F.lit(1000.0) * (det / 40) * (det / 40) * (following / 100) + 0.5) / 10
 
 
+def legacy_total(det: Column, rubric: Column, step: Column, following: Column) -> Column:
+    """Points out of 100: 40 of asserts, 25 of the rubric, 25 of steps, 10 of instructions followed."""
+    return det + rubric + step + js_round(following / 100 * 10)
+
+
+def rubric_score(satisfied: Column, required: Column) -> Column:
+    """25 points in proportion to the required criteria that are met."""
+    return js_round(satisfied / F.greatest(required, F.lit(1)) * 25)
+
+
+def step_score(flags: Sequence[Column]) -> Column:
+    """25 points times the mean of yes-or-no flags; 0 without a verdict."""
+    met = sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))
+    return F.coalesce(js_round(met / len(flags) * 25), F.lit(0).cast("long"))
+
+
 RANGES = 1024
 
 

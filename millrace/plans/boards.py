@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import js_round
 from millrace.operators import boards as op
 from millrace.plans.registry import query
+from millrace.sources import files
 from millrace.sources.tables import table
 
 
@@ -27,7 +28,7 @@ def newest_per_key(spark, d):
     return op.newest(runs(spark, d).select("model", "run_at", "event_id", "score"), ["model"], ["run_at", "event_id"])
 
 
-BOARD_SQL = R + """, base AS (SELECT model, count(*) FILTER (event_type = 'view') AS base_pass, CAST(sum(ms) AS DOUBLE) / count(*) AS base_ms FROM runs WHERE model % 3 <> 0 GROUP BY model),
+BOARD_SQL = R + """, base AS (SELECT model, count(*) FILTER (event_type = 'view') AS base_pass, CAST(sum(CASE WHEN error THEN 0 ELSE ms END) AS DOUBLE) / count(*) AS base_ms FROM runs WHERE model % 3 <> 0 GROUP BY model),
 hard AS (SELECT model, count(*) FILTER (event_type = 'purchase' AND score >= 50) AS hard_strict, CAST(sum(score) AS DOUBLE) / count(*) AS composite, CAST(sum(ms) AS DOUBLE) / count(*) AS hard_ms FROM runs WHERE model % 4 <> 0 GROUP BY model),
 m AS (SELECT model, base_pass, base_ms, hard_strict, floor(composite * 10 + 0.5) / 10 AS composite, hard_ms FROM base FULL OUTER JOIN hard USING (model))
 SELECT *, CAST(row_number() OVER (ORDER BY coalesce(hard_strict, -1) DESC, coalesce(composite, -1) DESC, coalesce(base_pass, -1) DESC, coalesce(hard_ms, base_ms, 'infinity'::DOUBLE), model) AS INTEGER) AS rank FROM m"""
@@ -37,7 +38,7 @@ SELECT *, CAST(row_number() OVER (ORDER BY coalesce(hard_strict, -1) DESC, coale
 def leaderboard_merge(spark, d):
     r = runs(spark, d)
     mean = lambda c: F.sum(c).cast("double") / F.count("*")
-    base = r.where("model % 3 <> 0").groupBy("model").agg(F.count(F.when(F.col("event_type") == "view", 1)).alias("base_pass"), mean("ms").alias("base_ms"))
+    base = r.where("model % 3 <> 0").groupBy("model").agg(F.count(F.when(F.col("event_type") == "view", 1)).alias("base_pass"), mean(F.when(F.col("error"), 0).otherwise(F.col("ms"))).alias("base_ms"))  # an errored scenario counts, with 0 ms
     hard = r.where("model % 4 <> 0").groupBy("model").agg(F.count(F.when((F.col("event_type") == "purchase") & (F.col("score") >= 50), 1)).alias("hard_strict"), mean("score").alias("composite"), mean("ms").alias("hard_ms"))
     return op.merge_boards(base, hard)
 
@@ -48,7 +49,8 @@ def public_score(spark, d):
 
 
 @query(R + """SELECT model, count(*) FILTER (NOT error) AS n, CAST(sum(score) FILTER (NOT error) AS DOUBLE) / nullif(count(*) FILTER (NOT error), 0) AS mean_score, min(score) FILTER (NOT error) AS low, max(score) FILTER (NOT error) AS high,
-count(*) FILTER (NOT error AND score < 60) AS under_60, count(*) FILTER (NOT error AND score < 80) AS under_80, count(*) FILTER (NOT error AND score >= 99.5) AS perfect, count(*) FILTER (error) AS errors_skipped FROM runs WHERE scenario < 14 GROUP BY model""")
+count(*) FILTER (NOT error AND score < 60) AS under_60, count(*) FILTER (NOT error AND score < 80) AS under_80, count(*) FILTER (NOT error AND score >= 99.5) AS perfect, count(*) FILTER (error) AS errors_skipped,
+floor(sum(score) * 10.0 / count(*) + 0.5) / 10 AS avg_score, floor(sum(ms % 101) * 10.0 / count(*) + 0.5) / 10 AS avg_following, count(*) FILTER (event_type = 'purchase') AS tier_count FROM runs WHERE scenario < 14 GROUP BY model""")
 def suite_rollup(spark, d):
     r = runs(spark, d)
     headline = spark.range(14).select(F.col("id").alias("scenario"))
@@ -56,16 +58,20 @@ def suite_rollup(spark, d):
     count = lambda c: F.count(F.when(c, 1))
     return r.join(F.broadcast(headline), "scenario", "left_semi").groupBy("model").agg(
         count(ok).alias("n"), (F.sum(F.when(ok, F.col("score"))).cast("double") / F.nullif(count(ok), F.lit(0))).alias("mean_score"), F.min(F.when(ok, F.col("score"))).alias("low"), F.max(F.when(ok, F.col("score"))).alias("high"),
-        count(ok & (F.col("score") < 60)).alias("under_60"), count(ok & (F.col("score") < 80)).alias("under_80"), count(ok & (F.col("score") >= 99.5)).alias("perfect"), count(F.col("error")).alias("errors_skipped"))
+        count(ok & (F.col("score") < 60)).alias("under_60"), count(ok & (F.col("score") < 80)).alias("under_80"), count(ok & (F.col("score") >= 99.5)).alias("perfect"), count(F.col("error")).alias("errors_skipped"),
+        *((F.floor(F.sum(v) * 10.0 / F.count("*") + 0.5) / 10).alias(n) for n, v in (("avg_score", F.col("score")), ("avg_following", F.col("ms") % 101))), count(F.col("event_type") == "purchase").alias("tier_count"))
 
+LEGACY = "score % 41 + event_id % 26 + ms % 26 + CAST(floor((score / 100) * 10 + 0.5) AS BIGINT)"
 
-@query(R + """, a AS (SELECT model, CAST(sum(score) AS DOUBLE) / count(*) AS mean_score FROM runs GROUP BY model)
-SELECT model, mean_score, max(mean_score) OVER () - min(mean_score) OVER () AS spread, CAST(row_number() OVER (ORDER BY mean_score DESC, model) AS INTEGER) AS rank FROM a""")
+
+@query(R + f""", a AS (SELECT model, CAST(sum(score) AS DOUBLE) / count(*) AS mean_score, CAST(sum({LEGACY}) AS DOUBLE) / count(*) AS legacy FROM runs GROUP BY model)
+SELECT model, mean_score, legacy, mean_score - legacy AS delta, max(mean_score) OVER () - min(mean_score) OVER () AS spread, CAST(row_number() OVER (ORDER BY mean_score DESC, model) AS INTEGER) AS rank FROM a""")
 def spread_rank(spark, d):
-    a = runs(spark, d).groupBy("model").agg((F.sum("score").cast("double") / F.count("*")).alias("mean_score"))
+    legacy = op.legacy_total(F.col("score") % 41, F.col("event_id") % 26, F.col("ms") % 26, F.col("score"))
+    a = runs(spark, d).groupBy("model").agg((F.sum("score").cast("double") / F.count("*")).alias("mean_score"), (F.sum(legacy).cast("double") / F.count("*")).alias("legacy"))
     w = W.orderBy(F.desc("mean_score"), "model")
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return a.select("model", "mean_score", (F.max("mean_score").over(every) - F.min("mean_score").over(every)).alias("spread"), F.row_number().over(w).alias("rank"))
+    return a.select("model", "mean_score", "legacy", (F.col("mean_score") - F.col("legacy")).alias("delta"), (F.max("mean_score").over(every) - F.min("mean_score").over(every)).alias("spread"), F.row_number().over(w).alias("rank"))
 
 
 @query("""SELECT lang, source, count(*) AS n, floor(count(*) * 1000.0 / sum(count(*)) OVER () + 0.5) / 1000 AS share FROM documents GROUP BY lang, source""")
@@ -152,19 +158,62 @@ def prompt_matrix(spark, d):
     return each.join(known, ["model", "scenario"], "left").groupBy("variant", "model").agg(F.count(F.when(ok, 1)).alias("passes"), F.count(F.when(ok & F.col("known"), 1)).alias("fixed"), F.count("*").alias("n"))
 
 
-@query(R + """SELECT model, CAST(floor(25.0 * count(*) FILTER (event_type IN ('view', 'click')) / count(*) + 0.5) AS BIGINT) AS rubric, CAST(floor(100.0 * count(*) FILTER (NOT error) / greatest(count(*), 10) + 0.5) AS BIGINT) AS following,
-count(DISTINCT score) AS distinct_scores, max(score) - min(score) AS score_range, CAST(coalesce(sum(ms) FILTER (NOT error), 0) AS DOUBLE) / greatest(count(*) FILTER (NOT error), 1) AS mean_ms FROM runs GROUP BY model""")
+#: Nine yes-or-no flags of a judge, one for each remainder.
+FLAGS = range(2, 11)
+
+
+@query(R + f""", j AS (SELECT model, count(*) FILTER (event_type <> 'signup') AS req, count(*) FILTER (event_type IN ('view', 'click')) AS sat, count(*) FILTER (NOT error) AS ok, count(*) AS n, {" + ".join(f"CAST(count(*) % {k} = 0 AS INT)" for k in FLAGS)} AS met,
+count(DISTINCT score) AS distinct_scores, max(score) - min(score) AS score_range, CAST(coalesce(sum(ms) FILTER (NOT error), 0) AS DOUBLE) / greatest(count(*) FILTER (NOT error), 1) AS mean_ms FROM runs GROUP BY model),
+p AS (SELECT *, CAST(floor(sat / greatest(req, 1) * 25 + 0.5) AS BIGINT) AS rubric, CAST(floor(met / 9 * 25 + 0.5) AS BIGINT) AS step, CAST(floor(100.0 * ok / greatest(n, 10) + 0.5) AS BIGINT) AS following FROM j)
+SELECT model, rubric, step, following, n % 41 + rubric + step + CAST(floor(following / 100 * 10 + 0.5) AS BIGINT) AS legacy_total, distinct_scores, score_range, mean_ms FROM p""")
 def judge_rollup(spark, d):
-    ok = ~F.col("error")
-    sat = F.count(F.when(F.col("event_type").isin("view", "click"), 1))
-    return runs(spark, d).groupBy("model").agg(
-        js_round(25.0 * sat / F.count("*")).alias("rubric"), js_round(100.0 * F.count(F.when(ok, 1)) / F.greatest(F.count("*"), F.lit(10))).alias("following"), F.count_distinct("score").alias("distinct_scores"),
-        (F.max("score") - F.min("score")).alias("score_range"), (F.coalesce(F.sum(F.when(ok, F.col("ms"))), F.lit(0)).cast("double") / F.greatest(F.count(F.when(ok, 1)), F.lit(1))).alias("mean_ms"))
+    """Rubric over required criteria, steps over nine flags, instructions followed, and the legacy total."""
+    ok, k = ~F.col("error"), F.col("event_type")
+    count = lambda c: F.count(F.when(c, 1))
+    j = runs(spark, d).groupBy("model").agg(
+        op.rubric_score(count(k.isin("view", "click")), count(k != "signup")).alias("rubric"), op.step_score([F.count("*") % m == 0 for m in FLAGS]).alias("step"), js_round(100.0 * count(ok) / F.greatest(F.count("*"), F.lit(10))).alias("following"),
+        (F.count("*") % 41).alias("det"), F.count_distinct("score").alias("distinct_scores"), (F.max("score") - F.min("score")).alias("score_range"), (F.coalesce(F.sum(F.when(ok, F.col("ms"))), F.lit(0)).cast("double") / F.greatest(count(ok), F.lit(1))).alias("mean_ms"))
+    return j.withColumn("legacy_total", op.legacy_total(F.col("det"), F.col("rubric"), F.col("step"), F.col("following"))).drop("det")
 
 
-@query("""SELECT doc_id, sha256(text) AS text_sha256 FROM documents""")
+@query("""SELECT doc_id, sha256(text) AS text_sha256, 'sha-' || source AS git_sha, n_chars % 2 = 1 AS dirty FROM documents""")
 def provenance(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    """Hash of a prompt with the revision it was made at; the revision is the caller's to give."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", files.provenance(F.col("text"), F.concat(F.lit("sha-"), "source"), F.col("n_chars") % 2 == 1).alias("p")).select("doc_id", "p.*")
+
+
+#: Per user: the events as results, two model names for legacy runs, and what a run over them stores.
+RUN_FILES = """WITH e AS (SELECT user_id AS u, event_id, event_id % 2 AS half, CAST(floor(value) AS BIGINT) % 101 AS score, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value * 10) AS BIGINT) END AS ms, event_type FROM events),
+b AS (SELECT 'm' || u AS model, 'base' AS suite, count(*) FILTER (event_type = 'view') AS passed, count(*) AS total, CAST(0 AS DOUBLE) AS ms, CAST(NULL AS DOUBLE) AS composite FROM e WHERE u % 4 = 0 GROUP BY u),
+s AS (SELECT 'm' || u, 'hard', count(*) FILTER (score >= 60 OR score % 7 = 0), count(*), CAST(u AS DOUBLE), CAST(sum(score) FILTER (score % 5 <> 0) AS DOUBLE) / count(*) FILTER (score % 5 <> 0) FROM e WHERE u % 4 = 1 GROUP BY u),
+g AS (SELECT 'm' || u, 'hard', count(*) FILTER (score >= 60), 25, CAST(max(ms) AS DOUBLE), CAST(max(score) AS DOUBLE) FROM e WHERE u % 4 = 2 GROUP BY u),
+l AS (SELECT 'm' || u || '-' || half, 'hard', count(*) FILTER (score >= 60 OR score % 7 = 0), count(*), coalesce(CAST(sum(ms) FILTER (ms > 0) AS DOUBLE) / nullif(count(*) FILTER (ms > 0), 0), 0), CAST(sum(score) FILTER (score % 5 <> 0) AS DOUBLE) / count(*) FILTER (score % 5 <> 0) FROM e WHERE u % 4 = 3 GROUP BY u, half)
+SELECT * FROM b UNION ALL SELECT * FROM s UNION ALL SELECT * FROM g UNION ALL SELECT * FROM l"""
+
+
+@query(RUN_FILES)
+def run_files(spark, d):
+    """Run artifacts of all four shapes as JSON texts, told apart, read and reduced to the newest of each model and suite."""
+    e, u = table(spark, d, "events"), F.col("u")
+    score = (F.floor("value") % 101).cast("long")
+    ms = F.when(F.col("event_type") == "error", 0).otherwise(F.floor(F.col("value") * 10)).cast("long")
+    quality = F.struct(F.when(F.col("score") % 5 != 0, F.col("score")).alias("compositeScore"), (F.col("score") % 7 == 0).alias("strictPass"))
+    e = e.select(F.col("user_id").alias("u"), "event_id", "event_type", score.alias("score"), ms.alias("ms"))
+    result = F.struct(F.when(u % 4 == 3, F.concat(F.lit("m"), u, F.lit("-"), F.col("event_id") % 2)).alias("modelId"), F.col("ms"), (F.col("score") >= 60).alias("strictPass"), quality.alias("quality"))
+    # a run has few results by nature
+    runs_ = e.groupBy("u").agg(F.collect_list(result).alias("results"), F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "view", 1)).alias("views"), F.count(F.when(F.col("score") >= 60, 1)).alias("strict"), F.max("ms").alias("top_ms"), F.max("score").alias("top"))
+    name, at = F.concat(F.lit("m"), u), F.lit("2026-01-02").alias("runAt")
+    hard = F.lit("parse-hard-25").alias("kind")
+    summary = F.struct(name.alias("modelId"), F.col("strict").alias("strictPass"), F.col("top_ms").alias("meanMs"), F.col("top").alias("meanComposite"))
+    shapes = [F.struct(F.lit("parse-base").alias("kind"), name.alias("modelId"), at, F.col("views").alias("passCount"), F.col("n").alias("total")), F.struct(hard, name.alias("model"), at, u.alias("avgMs"), F.col("results")), F.struct(at, F.array(summary).alias("summaries"), F.col("results")), F.struct(hard, at, F.col("results"))]
+    said = F.coalesce(*(F.when(u % 4 == i, F.to_json(s)) for i, s in enumerate(shapes)))
+    docs = runs_.select(F.concat(F.lit("runs/"), u, F.lit(".json")).alias("path"), F.try_parse_json(said).alias("doc"))
+    docs = docs.unionByName(spark.createDataFrame([("runs/broken.json", "{"), ("runs/other.json", '{"kind": "notes"}')], "path string, said string").select("path", F.try_parse_json("said").alias("doc")))
+    base, rows = files.snapshots(docs)
+    suite = lambda df, name: df.select("model", F.lit(name).alias("suite"), "run_at", "path", F.col("passed"), "total", "ms", "composite")
+    both = suite(base, "base").unionByName(suite(rows, "hard"))
+    return op.newest(both, ["model", "suite"], ["run_at", "path"]).select("model", "suite", "passed", "total", "ms", "composite")
 
 
 @query(R + """SELECT scenario, model, event_id, score, score >= 60 AND NOT error AS passed FROM runs WHERE NOT (score >= 60 AND NOT error) AND model = 3""")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import csv_cell, first_json_block
+from millrace.functions.text import csv_cell, let
 
 AMOUNT_HEADERS = ["jumlah", "amount", "nominal"]
 
@@ -76,14 +76,59 @@ def hard_snapshot(doc: Column) -> Column:
     score = lambda r: F.try_variant_get(r, "$.quality.compositeScore", "double")
     scores = F.filter(F.transform(results, score), lambda x: x.isNotNull())
     mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
-    strict = F.size(F.filter(results, lambda r: F.coalesce(F.try_variant_get(r, "$.strictPass", "boolean"), F.lit(False))))
+    strict = F.greatest(F.size(F.filter(results, passed)), F.lit(0))
     return F.struct(F.coalesce(get("modelId", "string"), get("model", "string")).alias("model"), get("runAt", "string").alias("run_at"), F.coalesce(get("strictPass", "bigint"), strict.cast("bigint")).alias("hard_strict"), F.coalesce(get("totalScenarios", "bigint"), F.nullif(F.size(results), F.lit(-1)).cast("bigint"), F.lit(25).cast("bigint")).alias("hard_total"), F.coalesce(get("meanComposite", "double"), mean).alias("composite"), get("avgMs", "double").alias("hard_ms"))
 
 
 def hard_group(doc: Column) -> Column:
-    """Rows of a run over several models: its summaries, 25 scenarios each."""
+    """Rows of a run over several models: its summaries, 25 scenarios each, or else its results by model.
+
+    Without summaries latency is the mean over results that took any time, the
+    total their number and the composite the mean of those that have one.
+    """
     get = lambda v, p, t: F.try_variant_get(v, f"$.{p}", t)
-    return F.transform(get(doc, "summaries", "array<variant>"), lambda s: F.struct(get(s, "modelId", "string").alias("model"), get(doc, "runAt", "string").alias("run_at"), F.coalesce(get(s, "strictPass", "bigint"), F.lit(0).cast("bigint")).alias("hard_strict"), F.lit(25).cast("bigint").alias("hard_total"), get(s, "meanComposite", "double").alias("composite"), get(s, "meanMs", "double").alias("hard_ms")))
+    summaries, results = get(doc, "summaries", "array<variant>"), get(doc, "results", "array<variant>")
+    names = F.array_distinct(F.filter(F.transform(results, lambda r: get(r, "modelId", "string")), lambda n: F.coalesce(n, F.lit("")) != ""))
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a))
+
+    def summed(s: Column) -> Column:
+        return F.struct(get(s, "modelId", "string").alias("model"), get(doc, "runAt", "string").alias("run_at"), F.coalesce(get(s, "strictPass", "bigint"), F.lit(0).cast("bigint")).alias("hard_strict"), F.lit(25).cast("bigint").alias("hard_total"), get(s, "meanComposite", "double").alias("composite"), get(s, "meanMs", "double").alias("hard_ms"))
+
+    def grouped(name: Column) -> Column:
+        def of(own: Column) -> Column:
+            scores = F.filter(F.transform(own, lambda r: get(r, "quality.compositeScore", "double")), lambda x: x.isNotNull())
+            times = F.filter(F.transform(own, lambda r: get(r, "ms", "double")), lambda x: x > 0)
+            return F.struct(name.alias("model"), get(doc, "runAt", "string").alias("run_at"), F.size(F.filter(own, passed)).cast("bigint").alias("hard_strict"), F.size(own).cast("bigint").alias("hard_total"), mean(scores).alias("composite"), F.coalesce(mean(times), F.lit(0.0)).alias("hard_ms"))
+
+        return let(F.filter(results, lambda r: get(r, "modelId", "string") == name), of)
+
+    return F.when(F.size(summaries) > 0, F.transform(summaries, summed)).otherwise(F.transform(names, grouped))
+
+
+def passed(result: Column) -> Column:
+    """Did a stored result pass strictly, by its own flag or its quality's?"""
+    flag = lambda p: F.coalesce(F.try_variant_get(result, f"$.{p}", "boolean"), F.lit(False))
+    return flag("strictPass") | flag("quality.strictPass")
+
+
+def snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base and hard rows (path, model, run_at, passed, total, ms, composite) of run artifacts (path, doc); others give none."""
+    d = docs.where(F.col("doc").isNotNull()).withColumn("kind", artifact_kind(F.col("doc"), F.col("path")))
+    names = {"base_pass": "passed", "base_total": "total", "base_ms": "ms", "hard_strict": "passed", "hard_total": "total", "hard_ms": "ms"}
+    base = d.where("kind = 'base'").select("path", base_snapshot(F.col("doc")).alias("s")).select("path", "s.*").withColumnsRenamed(names).withColumn("composite", F.lit(None).cast("double"))
+    hard = d.where("kind = 'hard'")
+    many = F.size(F.try_variant_get("doc", "$.summaries", "array<variant>")) > 0
+    named = F.coalesce(F.try_variant_get("doc", "$.modelId", "string"), F.try_variant_get("doc", "$.model", "string")).isNotNull()
+    group = F.coalesce(many, F.lit(False)) | ~named
+    single = hard.where(~group).select("path", hard_snapshot(F.col("doc")).alias("s")).select("path", "s.*")
+    several = hard.where(group).select("path", F.inline(hard_group(F.col("doc"))))
+    both = single.unionByName(several).withColumnsRenamed(names).withColumn("ms", F.coalesce("ms", F.lit(0.0)))
+    return (x.where("model is not null and run_at is not null") for x in (base, both))
+
+
+def provenance(text: Column, git_sha: Column, dirty: Column) -> Column:
+    """What a generated row came from: hash of the prompt, revision, and whether that had local changes."""
+    return F.struct(F.sha2(text, 256).alias("text_sha256"), git_sha.alias("git_sha"), dirty.alias("dirty"))
 
 
 def append_lines(df: DataFrame, path: str, key: str) -> None:
@@ -117,10 +162,6 @@ def file_kind(path: Column) -> Column:
     return F.when(p.rlike(r"\.(png|jpe?g|webp|gif)$"), "image").when(p.endswith(".csv"), "csv").when(p.rlike(r"\.pdf(\.txt)?$"), "pdf").otherwise("file")
 
 
-def answer_block(content: Column) -> Column:
-    return F.try_parse_json(first_json_block(content))
-
-
 def present_files(spark: SparkSession, folder: str, min_bytes: int = 1) -> DataFrame:
     """path and length of a folder's files of at least so many bytes (contents are not read)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
