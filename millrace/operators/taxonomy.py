@@ -1,4 +1,4 @@
-"""Drafting a taxonomy of cells: budgets, per-cell draws, repair of what can't coexist, floors and marginals.
+"""Drafting a taxonomy of cells: budgets, per-cell draws, invariants, coherence, repair of what can't coexist, floors and marginals.
 
 Drafting and repair of single cells are distributed.  Floors of tokens and
 marginals are settled one move at a time, each depending on the last, so they
@@ -67,6 +67,94 @@ def relink(cells: DataFrame) -> DataFrame:
         "register_intensity": F.when(F.col("register") == "baku", "sisip").otherwise(F.col("register_intensity")), "notation": fixed})
 
 
+#: What a cell asserts: every kind uses some of the fields.
+INVARIANT = "struct<kind:string,rupiah:bigint,unit:bigint,n:int,masuk:int,keluar:int,total:bigint,hint:string,keyword:string>"
+# The least amount a cell may name, and the aspects whose message is so many of one thing.
+MONEY_FLOOR = 100
+#: Numbers of entries that a cardinality allows.
+CARD_RANGE = {"zero": (0, 0), "single": (1, 1), "dua": (2, 2), "tiga": (3, 3), "banyak": (4, 99)}
+
+
+def assertion(kind: str, **fields: Column) -> Column:
+    names = {"rupiah": "bigint", "unit": "bigint", "n": "int", "masuk": "int", "keluar": "int", "total": "bigint", "hint": "string", "keyword": "string"}
+    return F.struct(F.lit(kind).alias("kind"), *(fields.get(f, F.lit(None)).cast(t).alias(f) for f, t in names.items()))
+
+
+def invariants(shadow: Column, qty: Column, keyword: Column, extra: dict[str, Column] | None = None) -> Column:
+    """What a cell's label must hold, from its columns direction, values (array of amounts), date_hint, correction and aspect.
+
+    ``shadow`` is an amount near the cell's own that the message names but
+    doesn't book, ``qty`` how many of one thing a quantity cell has (null: no
+    such cell), ``keyword`` that thing. ``extra`` gives conditions on the aspect
+    for the kinds price_copy, share, discount, fuzzy, future, phantom, contested.
+    """
+    values, none = F.col("values"), F.array().cast(f"array<{INVARIANT}>")
+    unit, n = F.coalesce(F.get(values, F.lit(0)), F.lit(10_000)), F.size(values)
+    masuk = F.when(F.col("direction") == "in", n).when(F.col("direction") == "mixed", 1).otherwise(0)
+    counted = F.concat(F.array(assertion("entry_count", n=n), assertion("direction_count", masuk=masuk, keluar=n - masuk)), F.transform(values, lambda v: assertion("amount_present", rupiah=v)))
+    several = F.array(assertion("qty_merge_ok", keyword=keyword, unit=unit, n=qty), assertion("sum_out", total=unit * qty))
+    absent = lambda v: assertion("amount_absent", rupiah=v)
+    given = {k: F.coalesce(c, F.lit(False)) for k, c in (extra or {}).items()}
+    when = lambda k, s: F.when(given.get(k, F.lit(False)), s)
+    first = lambda other: F.coalesce(F.get(values, F.lit(0)), F.lit(other))
+    more = F.array_compact(F.array(
+        assertion("date_hint", hint=F.col("date_hint")),
+        F.when(F.col("correction").isin("amount", "cancel"), absent(shadow)), F.when(F.col("correction") == "magnitude", absent(first(75_000) * 100)),
+        when("price_copy", F.when(n >= 2, assertion("no_price_copy", n=F.size(F.array_distinct(values))))), when("share", absent(first(30_000) * 3)),
+        when("discount", absent((F.floor(first(50_000) * 1.2 / 500 + 0.5) * 500).cast("long"))), when("fuzzy", assertion("ambigu_flagged", n=F.lit(1))), when("future", absent(shadow)), when("phantom", absent(shadow * 10)), when("contested", assertion("ambigu_flagged", n=F.lit(1)))))
+    body = F.concat(F.when(qty.isNotNull(), several).otherwise(counted), more)
+    return F.when(F.col("direction") == "non_tx", F.array(assertion("non_transaction"))).otherwise(F.coalesce(body, none))
+
+
+def coherence(triggers: dict[str, list[str]], packs: Sequence[str]) -> dict[str, Column]:
+    """Conditions that make a cell incoherent, by name.
+
+    Columns: direction, cardinality, magnitude, date_hint, date_surface, values,
+    surfaces (one for each value), invariants, vendors (array of struct(id, known,
+    lo, hi, polarity)). ``triggers`` has the words of each date hint, ``packs`` the
+    quantity words that stand for several items.
+    """
+    inv, values, tx = F.col("invariants"), F.col("values"), F.col("direction") != "non_tx"
+    of = lambda kind: F.filter(inv, lambda i: i["kind"] == kind)
+    has = lambda kind: F.size(of(kind)) > 0
+    first = lambda kind: F.get(of(kind), F.lit(0))
+    word = lambda text, words: text.rlike(r"(?i)\b(?:" + "|".join(words) + r")\b") if words else F.lit(False)
+    foreign = F.lit(False)
+    for hint, words in triggers.items():
+        foreign = foreign | ((F.col("date_hint") != hint) & word(F.col("date_surface"), words))
+    # lowest and highest amount of the cell's band; a band's end is not part of it
+    low, high = (F.create_map(*(F.lit(x) for k, b in amounts.BANDS.items() for x in (k, b[i])))[F.col("magnitude")] for i in (0, 1))
+    least, most = (F.create_map(*(F.lit(x) for k, r in CARD_RANGE.items() for x in (k, r[i])))[F.col("cardinality")] for i in (0, 1))
+    top, n, dc = F.array_max(values), first("entry_count")["n"], first("direction_count")
+    present = F.transform(of("amount_present"), lambda i: i["rupiah"])
+    vendors = lambda f: F.exists("vendors", lambda v: F.coalesce(f(v), F.lit(False)))
+    return {
+        "future_hint": F.col("date_hint") == "lusa",
+        "future_surface": tx & word(F.col("date_surface"), ["lusa"]),
+        "foreign_trigger": foreign,
+        "non_tx_entries": ~tx & (F.col("cardinality") != "zero"),
+        "non_tx_invariants": ~tx & ((F.size(inv) != 1) | ~has("non_transaction")),
+        "no_entries": tx & (F.col("cardinality") == "zero"),
+        "no_values": tx & (F.size(values) == 0),
+        "no_count": tx & ~has("entry_count") & ~has("qty_merge_ok"),
+        "pack": tx & F.exists(of("qty_merge_ok"), lambda i: F.coalesce(word(i["keyword"], packs), F.lit(False))),
+        "date_mismatch": tx & ((F.col("date_hint") != "tidak_jelas") != F.col("date_surface").isNotNull()),
+        "below_floor": F.exists(values, lambda v: v < MONEY_FLOOR),
+        "empty_surface": F.exists("surfaces", lambda x: F.trim(x) == ""),
+        "outside_band": (top < low) | (top >= high),
+        "count_of_values": n != F.size(values),
+        "count_of_cardinality": (n < least) | (n > most),
+        "income_in_expense": (F.col("direction") == "out") & (dc["masuk"] != 0),
+        "expense_in_income": (F.col("direction") == "in") & (dc["keluar"] != 0),
+        "mixed_one_way": (F.col("direction") == "mixed") & ((dc["masuk"] < 1) | (dc["keluar"] < 1)),
+        "directions_sum": dc["masuk"] + dc["keluar"] != F.size(values),
+        "present_and_absent": F.exists(of("amount_absent"), lambda i: F.array_contains(present, i["rupiah"])),
+        "unknown_vendor": vendors(lambda v: ~v["known"]),
+        "vendor_band": vendors(lambda v: v["known"] & ~amounts.bands_overlap(v["lo"], v["hi"] + 1, low, high)),
+        "vendor_polarity": F.col("direction").isin("in", "out") & vendors(lambda v: v["known"] & (v["polarity"] != "any") & (v["polarity"] != F.col("direction"))),
+    }
+
+
 def writable(lo: int, hi: int) -> list[str]:
     """Number notations that can write some amount of a band [lo, hi)."""
     million, thousand = 1_000_000, 1_000
