@@ -157,5 +157,36 @@ def strict_pass(flagged: Column, got: Column, want: Column, expect_none: Column)
     return F.when(expect_none, flagged & (F.size(got) == 0)).otherwise((m["matched"] == F.size(want)) & (m["extra"] == 0) & ~(flagged & (F.size(want) > 0)))
 
 
+def strict_outcome(flagged: Column, got: Column, want: Column, expect_none: Column, forgiven: Column, cleared: Column) -> Column:
+    """passed, matched and extra where a scenario accepts other layouts.
+
+    ``forgiven``: what is missing, and a wrong flag, is let pass, but entries left
+    over still count (asked only where something is missing). ``cleared``: the
+    layout passes as a whole, and no entry is left over.
+    """
+    none = expect_none & flagged & (F.size(got) == 0)
+
+    def judged(m: Column) -> Column:
+        all_ = m["matched"] == F.size(want)
+        pardon = forgiven & ~all_
+        extra = F.when(cleared, 0).otherwise(m["extra"])
+        ok = cleared | ((all_ | pardon) & (extra == 0) & (pardon | ~(flagged & (F.size(want) > 0))))
+        matched = F.when(cleared | pardon, F.size(want)).otherwise(m["matched"])
+        return F.struct(F.when(expect_none, none).otherwise(ok).alias("passed"), F.when(expect_none, none.cast("int")).otherwise(matched).alias("matched"), F.when(expect_none, F.size(got)).otherwise(extra).alias("extra"))
+
+    return let(greedy(got, want), judged)
+
+
+def tier_of_twelve(strict: Column, score: Column, entries: Column, spurious: Column, copied: Column, type_: Column) -> Column:
+    """The tier of the suite of twelve: as tier(); 85 points with the right directions are named apart."""
+    near = (score >= 85) & (type_ >= 80) & ~spurious & ~copied
+    return F.when(strict, "excellent").when(near, "near_correct").otherwise(tier(strict, score, entries, spurious, copied, type_))
+
+
+def count_score_of_twelve(got: Column, want: Column, alt: Column) -> Column:
+    """entry_count_score() of the suite of twelve: another layout costs 10 only with one entry too many."""
+    return entry_count_score(got, want, alt & (got == want + 1))
+
+
 def style_share(passed: Column) -> Column:
     return js_round(passed * 1000) / 1000

@@ -68,18 +68,25 @@ def traceable(invariants: Column, direction: Column) -> Column:
     return F.coalesce(merged, F.array().cast("array<bigint>"))
 
 
-def row_phase(text: Column, atoms: Column, label: Column, invariants: Column, surfaces: Column, direction: Column) -> Column:
+def row_phase(text: Column, atoms: Column, label: Column, invariants: Column, surfaces: Column, direction: Column, leaked: Column | bool = False, raw: Column | None = None, repeated: Column | bool = False) -> Column:
     """The first gate a generated row fails; null for a row that passes all.
 
-    ``atoms`` are the text's amounts (``amount_atoms``), kept in a column by the caller.
+    ``atoms`` are the text's amounts (``amount_atoms``), kept in a column by the
+    caller; ``leaked`` and ``repeated`` say whether the text is one of the scored
+    corpus or came before; ``raw`` is the answer the label was read from.
     """
     gone = excused(surfaces, invariants, direction)
     booked = F.transform(label["entries"], lambda e: e["jumlah"])
     qty = F.size(of_kind(invariants, "qty_merge_ok")) > 0
+    plain = F.try_parse_json(raw).isNull() if raw is not None else F.lit(False)
+    odd = labels.unknown_keys(raw) if raw is not None else F.lit(False)
     return labels.first_phase(
+        ("text:leak", F.lit(leaked)),
         ("text:bijection", ~labels.same_amounts(F.transform(atoms, lambda a: a["value"]), text_amounts(surfaces, invariants))),
         ("text:ambiguous-amount", amounts.ambiguous(atoms)),
-        ("label:schema", F.size(labels.strict_issues(label, qty)) > 0),
+        ("label:plain-json", plain),
+        ("label:schema", odd | (F.size(labels.strict_issues(label, qty)) > 0)),
         ("label:trace", F.array_contains(labels.guard_trace(label, atoms, traceable(invariants, direction)), "none")),
         ("label:dropped-entry", F.size(amounts.unexcused(text, atoms, F.array_union(booked, gone))) > 0),
-        ("agreement", F.size(labels.agreement(label, is_non_transaction(invariants), alternatives(invariants, direction), absent_amounts(invariants))) > 0))
+        ("agreement", F.size(labels.agreement(label, is_non_transaction(invariants), alternatives(invariants, direction), absent_amounts(invariants))) > 0),
+        ("dedup", F.lit(repeated)))

@@ -27,6 +27,18 @@ def claim(plan: DataFrame, done: DataFrame, key: str, order: str, capacity: int)
     return plan.join(done.select(key).distinct(), key, "left_anti").orderBy(order).limit(max(0, capacity))
 
 
+def room(count: int, accepted: int, in_flight: int, batch: int, aborted: bool = False) -> tuple[str, int]:
+    """What a scheduler does next: done, wait, or a batch of so many rows."""
+    if batch <= 0:
+        raise ValueError("batch size must be positive")
+    left = count - accepted - in_flight
+    if aborted or accepted >= count:
+        return "done", 0
+    if left <= 0:
+        return ("wait" if in_flight > 0 else "done"), 0
+    return "batch", min(batch, left)
+
+
 def error_class(message: Column, phase: Column) -> Column:
     """reject for a validator's verdict, fatal for errors every row would meet, else retry."""
     return F.when(phase.isNotNull(), "reject").when(message.rlike(r"HTTP (400|401|403|404)(?![A-Za-z0-9_])") | message.rlike(r"(?i)model.*not (found|loaded)"), "fatal").otherwise("retry")

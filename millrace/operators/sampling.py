@@ -116,6 +116,18 @@ def token_holdout(df: DataFrame, surfaces: Column, held: Sequence[str]) -> DataF
     return df.withColumn("split", F.when(F.arrays_overlap(surfaces, F.array(*map(F.lit, held))), "eval_compositional").otherwise("train"))
 
 
+def backstop(df: DataFrame, group: str, key: str, held: str, least: int) -> DataFrame:
+    """Moves rows back to train, in order of their key, until each group has ``least`` there; rows marked ``held`` stay out.
+
+    Only the rows a group may move are ordered, and only in groups that are short.
+    """
+    train = df.groupBy(group).agg(F.count(F.when(F.col("split") == "train", 1)).alias("_train")).where(F.col("_train") < least)
+    short = df.where((F.col("split") != "train") & ~F.col(held)).join(train, group)
+    # the first few of each group: a window limit is pushed below the shuffle
+    back = short.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(key))).where(F.col("_k") <= least).where(F.col("_k") <= least - F.col("_train")).select(F.col(key).alias("_back"))
+    return df.join(back, df[key] == back["_back"], "left").withColumn("split", F.when(F.col("_back").isNotNull(), "train").otherwise(F.col("split"))).drop("_back")
+
+
 def marginals(df: DataFrame, axis: str, targets: dict[str, float]) -> DataFrame:
     """Realised and target share of each target value, and the difference in percentage points."""
     spark = df.sparkSession

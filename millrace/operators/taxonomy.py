@@ -169,21 +169,25 @@ def _small(cells: DataFrame) -> list[dict]:
     return rows
 
 
-def place_tokens(cells: DataFrame, tokens: dict[str, int], hosts: str) -> dict[str, list[str]]:
+def place_tokens(cells: DataFrame, tokens: dict[str, int], hosts: str, grow: str | None = None) -> dict[str, list[str]]:
     """For each token the ids of the cells that carry it: as many distinct cells as asked for.
 
     ``hosts`` is an array column with the tokens a cell may carry.  Tokens with
     the fewest hosts are placed first, each on the host with the fewest tokens
-    so far; a ValueError names a token that has too few hosts.
+    so far. A token with too few hosts gets new cells, named ``grow`` and a
+    number; without ``grow`` a ValueError names it.
     """
     rows = _small(cells)
     able = {t: [r["id"] for r in rows if t in (r[hosts] or [])] for t in tokens}
     load: Counter = Counter()
-    out = {}
+    out, made = {}, 0
     for t in sorted(tokens, key=lambda t: (len(able[t]) - tokens[t], t)):
-        if len(able[t]) < tokens[t]:
+        short = tokens[t] - len(able[t])
+        if short > 0 and grow is None:
             raise ValueError(f"token {t!r} has {len(able[t])} hosts, needs {tokens[t]}")
-        out[t] = sorted(able[t], key=lambda i: (load[i], i))[: tokens[t]]
+        new = [f"{grow}-{made + n:02d}" for n in range(max(0, short))]
+        made += len(new)
+        out[t] = sorted(able[t], key=lambda i: (load[i], i))[: tokens[t]] + new
         load.update(out[t])
     return out
 

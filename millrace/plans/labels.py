@@ -44,9 +44,12 @@ def answers(spark, d):
 
 @query("""WITH i AS (SELECT l_orderkey, l_orderkey % 11 = 0 AS flag, bool_or(l_linenumber = 7 OR floor(l_extendedprice) <= 0) AS amount, bool_or(l_returnflag = 'A' AND l_linenumber = 5) AS note, bool_or(l_returnflag = 'A' AND l_linestatus = 'O') AS sure, bool_or(l_linenumber = 6) AS future,
 count(*) <> count(DISTINCT (l_returnflag, l_linenumber = 6, l_partkey, CASE WHEN l_linenumber = 7 THEN 0 ELSE floor(l_extendedprice) END, l_suppkey, l_linestatus, l_returnflag = 'A' AND l_linenumber <> 5)) AS dup FROM lineitem GROUP BY 1)
-SELECT l_orderkey, concat_ws(',', CASE WHEN flag THEN 'flag' END, CASE WHEN amount THEN 'amount' END, CASE WHEN note THEN 'note_missing' END, CASE WHEN sure THEN 'sure_but_ambiguous' END, CASE WHEN future THEN 'future' END, CASE WHEN dup THEN 'duplicate' END) AS issues FROM i""")
+SELECT l_orderkey, concat_ws(',', CASE WHEN flag THEN 'flag' END, CASE WHEN amount THEN 'amount' END, CASE WHEN note THEN 'note_missing' END, CASE WHEN sure THEN 'sure_but_ambiguous' END, CASE WHEN future THEN 'future' END, CASE WHEN dup THEN 'duplicate' END) AS issues, l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 OR l_orderkey % 9 = 0 AS odd_keys FROM i""")
 def strict_rules(spark, d):
-    return answers(spark, d).select("l_orderkey", F.array_join(fn.strict_issues(F.col("label")), ",").alias("issues"))
+    k, said = F.col("l_orderkey"), F.to_json("label", {"ignoreNullFields": "false"})
+    # a key too many in the answer or in its entries, or one too few
+    raw = F.when(k % 5 == 0, F.concat(F.lit('{"extra": 1, '), F.substring(said, 2, 100_000))).when(k % 7 == 0, F.replace(said, F.lit('"vendor":'), F.lit('"penjual":'))).when(k % 9 == 0, F.to_json("label")).otherwise(said)
+    return answers(spark, d).select("l_orderkey", F.array_join(fn.strict_issues(F.col("label")), ",").alias("issues"), fn.unknown_keys(raw).alias("odd_keys"))
 
 
 @query("""SELECT l_orderkey, count(*) AS entries, CAST(sum(CASE WHEN l_linenumber = 7 THEN 0 ELSE floor(l_extendedprice) END) AS BIGINT) AS total, count(*) FILTER (l_returnflag = 'R') AS income, count(*) FILTER (l_returnflag = 'A') AS ambigu FROM lineitem GROUP BY 1""")
@@ -58,6 +61,22 @@ def lenient_labels(spark, d):
     return e.select("l_orderkey", F.size("label.entries").cast("long").alias("entries"), F.aggregate("label.entries", F.lit(0).cast("long"), lambda a, x: a + x["jumlah"]).alias("total"), n(lambda x: x["type"] == "pemasukan").alias("income"), n(lambda x: x["ambigu"]).alias("ambigu"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 4) THEN 'medium' WHEN event_id % 5 = 1 THEN 'low' WHEN event_id % 5 = 2 THEN CASE WHEN value >= 80 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END ELSE 'high' END AS confidence,
+CASE WHEN event_id % 3 = 0 THEN CAST(floor(value + 0.5) AS BIGINT) WHEN event_id % 3 = 1 THEN CAST(floor(value) AS BIGINT) * 1000 ELSE 0 END AS jumlah, CASE WHEN event_id % 7 = 0 THEN true ELSE false END AS bukan_transaksi,
+CASE WHEN event_id % 11 = 0 THEN 'no_json' WHEN event_id % 11 = 1 THEN 'not_an_object' WHEN event_id % 11 = 2 THEN 'entry_not_an_object' END AS parse_error FROM events""")
+def lenient_values(spark, d):
+    """Values as answers write them: keys missing or null, numbers and text, flags that are none, answers that can't be read."""
+    k, v = F.col("event_id"), F.col("value")
+    sure = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit(', "confidence": null')).when(k % 5 == 2, F.concat(F.lit(', "confidence": '), (v / 100).cast("string"))).when(k % 5 == 3, F.lit(', "confidence": true')).otherwise(F.lit(', "confidence": {}'))
+    amount = F.when(k % 3 == 0, F.concat(F.lit('"jumlah": '), v.cast("string"))).when(k % 3 == 1, F.concat(F.lit('"jumlah": null, "amount": "'), F.floor(v).cast("string"), F.lit('rb"'))).otherwise(F.lit('"type": "x"'))
+    flag = F.when(k % 7 == 0, "true").when(k % 7 == 1, '"true"').when(k % 7 == 2, "1").when(k % 7 == 3, "null").otherwise("false")
+    said = F.concat(F.lit('{"entries": null, "transaksi": [{'), amount, sure, F.lit('}], "bukan_transaksi": '), flag, F.lit("}"))
+    raw = F.when(k % 11 == 0, F.lit("sorry")).when(k % 11 == 1, F.lit("12")).when(k % 11 == 2, F.lit('{"entries": [1]}')).otherwise(said)
+    e = table(spark, d, "events").select("event_id", fn.read_label(said).alias("r"), fn.read_label(raw)["parse_error"].alias("parse_error"))
+    one = F.get("r.label.entries", F.lit(0))
+    return e.select("event_id", one["confidence"].alias("confidence"), one["jumlah"].alias("jumlah"), F.col("r.label.bukan_transaksi").alias("bukan_transaksi"), "parse_error")
+
+
 @query("""SELECT l_orderkey, count(*) FILTER (l_linenumber = 3) = 0 AS same FROM lineitem GROUP BY 1""")
 def bijection(spark, d):
     a = F.collect_list(F.floor("l_extendedprice").cast("long"))
@@ -79,7 +98,8 @@ def chunk_plan(spark, d):
 @query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) ORDER BY o_orderkey LIMIT 50""")
 def claim_batch(spark, d):
     """A scheduler's next 50 rows: the limit is the feature."""
-    return op.claim(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "o_orderkey", 50)
+    _, n = op.room(count=120, accepted=40, in_flight=30, batch=80)
+    return op.claim(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "o_orderkey", n)
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'signup' THEN 'reject' WHEN event_type = 'error' AND CAST(regexp_extract(props, '(\\d+)', 1) AS INT) % 2 = 0 THEN 'fatal' ELSE 'retry' END AS error_class FROM events""")
@@ -121,15 +141,19 @@ def generated(spark, d):
     entry = lambda n: F.struct(F.lit("pengeluaran").alias("type"), F.when(F.col("k") == 6, "hari_ini").otherwise("kemarin").alias("tanggal_hint"), F.lit("kopi").alias("deskripsi"), n.cast("long").alias("jumlah"), F.lit(None).cast("string").alias("kategori"), F.lit(None).cast("string").alias("vendor"), F.lit("low").alias("confidence"), F.lit(False).alias("ambigu"), F.lit(None).cast("string").alias("catatan_ambigu"))
     o = table(spark, d, "orders").select("o_orderkey", k.alias("k"), v.alias("v"))
     said = F.when(F.col("k") == 1, F.concat(F.lit("kopi "), F.col("v") + 1)).when(F.col("k") == 2, F.concat(F.lit("kopi 12.500 rb"))).when(F.col("k") == 5, F.concat(F.lit("kopi "), F.col("v"), F.lit(" jeruk 700"))).otherwise(F.concat(F.lit("kopi "), F.col("v")))
-    entries = F.when(F.col("k") == 3, F.array(entry(F.col("v")), entry(F.col("v")))).when(F.col("k") == 4, F.array(entry(F.col("v") * 100 + 7))).when(F.col("k") == 7, F.array(entry(F.col("v") * 3))).otherwise(F.array(entry(F.col("v"))))
+    entries = F.when(F.col("o_orderkey") % 24 == 0, F.array(entry(F.col("v") * 2))).when(F.col("k") == 3, F.array(entry(F.col("v")), entry(F.col("v")))).when(F.col("k") == 4, F.array(entry(F.col("v") * 100 + 7))).when(F.col("k") == 7, F.array(entry(F.col("v") * 3))).otherwise(F.array(entry(F.col("v"))))
     return o.select("o_orderkey", said.alias("text"), F.when(F.col("k") == 7, qty).when(F.col("k") == 5, gross).otherwise(plain).alias("inv"), F.array(F.when(F.col("k") == 2, 12_500_000).otherwise(F.col("v")).cast("long")).alias("surfaces"), F.struct(entries.alias("entries"), F.lit(False).alias("bukan_transaksi"), F.lit(None).cast("string").alias("ringkasan")).alias("label"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'text:bijection' WHEN 2 THEN 'text:ambiguous-amount' WHEN 3 THEN 'label:schema' WHEN 4 THEN 'label:trace' WHEN 6 THEN 'agreement' END AS phase FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'text:leak' WHEN o_orderkey % 8 = 1 THEN 'text:bijection' WHEN o_orderkey % 8 = 2 THEN 'text:ambiguous-amount' WHEN o_orderkey % 19 = 0 THEN 'label:plain-json' WHEN o_orderkey % 17 = 0 OR o_orderkey % 8 = 3 THEN 'label:schema' WHEN o_orderkey % 8 = 4 THEN 'label:trace'
+WHEN o_orderkey % 24 = 0 THEN 'label:dropped-entry' WHEN o_orderkey % 8 = 6 THEN 'agreement' WHEN o_orderkey % 11 = 0 THEN 'dedup' END AS phase FROM orders""")
 def validate_rows(spark, d):
     """The first gate each generated row fails."""
     g = generated(spark, d).withColumn("atoms", amounts.amount_atoms(F.col("text")))
-    return g.select("o_orderkey", spec.row_phase(F.col("text"), F.col("atoms"), F.col("label"), F.col("inv"), F.col("surfaces"), F.lit("out")).alias("phase"))
+    said = F.to_json("label", {"ignoreNullFields": "false"})
+    raw = F.when(F.col("o_orderkey") % 19 == 0, F.lit("no answer")).when(F.col("o_orderkey") % 17 == 0, F.concat(F.lit('{"note": 1, '), F.substring(said, 2, 100_000))).otherwise(said)
+    phase = spec.row_phase(F.col("text"), F.col("atoms"), F.col("label"), F.col("inv"), F.col("surfaces"), F.lit("out"), F.col("o_orderkey") % 13 == 0, raw, F.col("o_orderkey") % 11 == 0)
+    return g.select("o_orderkey", phase.alias("phase"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(floor(o_totalprice / 1000) * 1000 + 1000 AS BIGINT) AS v FROM orders)

@@ -67,16 +67,32 @@ def token_holdout(spark, d):
     return op.token_holdout(table(spark, d, "part").select("p_partkey", "p_name"), F.split("p_name", " "), ["cold", "red"]).select("p_partkey", "split")
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, p_size % 5 = 0 AS held, p_size % 2 = 1 OR p_size % 5 = 0 AS eval FROM part), b AS (SELECT *, count(*) FILTER (NOT eval) OVER (PARTITION BY p_brand) AS train, row_number() OVER (PARTITION BY p_brand, eval AND NOT held ORDER BY p_partkey) AS k FROM p WHERE p_size >= 35 OR p_size % 2 = 1)
+SELECT p_partkey, CASE WHEN eval AND NOT (NOT held AND train < 2 AND k <= 2 - train) THEN 'eval' ELSE 'train' END AS split FROM b""")
+def holdout_backstop(spark, d):
+    """Every brand keeps two rows to train on; rows with a held-out token never go back."""
+    p = table(spark, d, "part").where("p_size >= 35 or p_size % 2 = 1")
+    held = F.col("p_size") % 5 == 0
+    p = p.select("p_partkey", "p_brand", held.alias("held"), F.when(held | (F.col("p_size") % 2 == 1), "eval").otherwise("train").alias("split"))
+    return op.backstop(p, "p_brand", "p_partkey", "held", 2).select("p_partkey", "split")
+
+
 @query("""WITH t(o_orderpriority, target) AS (VALUES ('1-URGENT', 0.3), ('2-HIGH', 0.2), ('3-MEDIUM', 0.2), ('5-LOW', 0.2), ('9-NEVER', 0.1)), n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderpriority, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT sum(n) FROM n)::DOUBLE AS share, target::DOUBLE AS target, (coalesce(n, 0) / (SELECT sum(n) FROM n)::DOUBLE - target::DOUBLE) * 100 AS delta_pp FROM t LEFT JOIN n USING (o_orderpriority)""")
 def marginal_report(spark, d):
     return op.marginals(table(spark, d, "orders"), "o_orderpriority", {"1-URGENT": 0.3, "2-HIGH": 0.2, "3-MEDIUM": 0.2, "5-LOW": 0.2, "9-NEVER": 0.1})
 
 
-@query("""SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'id') = 0 AS gap FROM documents GROUP BY source""")
+@query("""SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es, concat_ws(',', CASE WHEN count(*) FILTER (lang = 'en') = 0 THEN 'en' END, CASE WHEN count(*) FILTER (lang = 'de') = 0 THEN 'de' END, CASE WHEN count(*) FILTER (lang = 'fr') = 0 THEN 'fr' END, CASE WHEN count(*) FILTER (lang = 'es') = 0 THEN 'es' END, CASE WHEN count(*) FILTER (lang = 'id') = 0 THEN 'id' END) AS gaps,
+CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS DOUBLE) / sum(n_chars) AS weighted_en FROM documents GROUP BY source""")
 def split_pivot(spark, d):
-    p = table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es", "id"]).count()
-    return p.select("source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("en", "de", "fr", "es")), F.col("id").isNull().alias("gap"))
+    """Rows of each source by language, the languages it lacks, and a language's share weighted by length."""
+    langs = ["en", "de", "fr", "es", "id"]
+    docs = table(spark, d, "documents")
+    p = docs.groupBy("source").pivot("lang", langs).count()
+    share = docs.groupBy("source").agg((F.coalesce(F.sum(F.when(F.col("lang") == "en", F.col("n_chars"))), F.lit(0)).cast("double") / F.sum("n_chars")).alias("weighted_en"))
+    gaps = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in langs))), ",")
+    return p.select("source", *(F.coalesce(c, F.lit(0)).alias(c) for c in langs[:4]), gaps.alias("gaps")).join(share, "source")
 
 
 @query(f"""WITH e AS (SELECT p_partkey, unnest(range(1, p_size % 4 + 1)) AS copy FROM part WHERE p_size % 4 >= 1), r AS (SELECT p_partkey, CAST(copy AS INTEGER) AS copy, {draw_sql('xor(p_partkey, 11)', 'copy')} AS r FROM e)

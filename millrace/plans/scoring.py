@@ -151,8 +151,31 @@ def style_rollup(spark, d):
     return j.groupBy(F.col("source").alias("style")).agg(ok.alias("passed"), F.count("*").alias("total"), fn.style_share(ok / F.count("*")).alias("share"))
 
 
-@query("""SELECT l_orderkey, count(*) AS n, CASE WHEN k >= 90 THEN 'excellent' WHEN k >= 70 THEN 'usable_with_edit' WHEN k >= 50 THEN 'partially_usable' WHEN k % 2 = 0 THEN 'misleading' ELSE 'broken' END AS tier FROM (SELECT *, l_orderkey % 100 AS k FROM lineitem) GROUP BY l_orderkey, k""")
+@query(LISTS + ", ".join([MATCHED, BEST, COPIED]) + COMPOSITE.replace("SELECT o AS l_orderkey, strict, composite, CASE", "SELECT tier, count(*) AS n, min(composite) AS low, max(composite) AS high FROM (SELECT composite, CASE") + ") GROUP BY tier")
 def tier_histogram(spark, d):
-    k = F.col("l_orderkey") % 100
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return g.withColumn("tier", fn.tier(k >= 90, k, F.lit(1), k % 2 == 0, F.lit(False), F.lit(100)))
+    """How many orders reach each tier, and the scores found there."""
+    return composite_score(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.min("composite").alias("low"), F.max("composite").alias("high"))
+
+
+@query(LISTS + MATCHED.replace("matched AS (SELECT o, want, got AS rest", "matched AS (SELECT o, want, got, got AS rest").replace("SELECT o, want, CASE WHEN place", "SELECT o, want, got, CASE WHEN place") + """, e AS (SELECT *, len(rest) AS left_over, coalesce(list_sum(list_transform(list_filter(got, lambda g: g.type = 'pengeluaran'), lambda g: g.jumlah)), 0) = coalesce(list_sum(list_transform(list_filter(want, lambda w: w.type = 'pengeluaran'), lambda w: w.jumlah)), 0) AS forgiven,
+len(list_filter(got, lambda g: g.jumlah = list_max(list_transform(want, lambda w: w.jumlah)))) >= 2 AS cleared, n = len(want) AS whole, o % 13 = 0 AS flagged, o % 29 = 0 AS none FROM matched WHERE i = len(want) + 1)
+SELECT o AS l_orderkey, CASE WHEN none THEN flagged AND len(got) = 0 WHEN cleared THEN true ELSE (whole OR forgiven) AND left_over = 0 AND ((forgiven AND NOT whole) OR NOT flagged) END AS passed,
+CAST(CASE WHEN none THEN CAST(flagged AND len(got) = 0 AS INT) WHEN cleared OR forgiven THEN len(want) ELSE n END AS INTEGER) AS matched, CAST(CASE WHEN none THEN len(got) WHEN cleared THEN 0 ELSE left_over END AS INTEGER) AS extra FROM e""")
+def strict_outcomes(spark, d):
+    """Strict grading where a scenario accepts other layouts: sums that agree forgive, a doubled price clears."""
+    total = lambda c: F.aggregate(F.filter(c, lambda x: x["type"] == "pengeluaran"), F.lit(0).cast("long"), lambda a, x: a + x["jumlah"])
+    top = F.array_max(F.transform("want", lambda w: w["jumlah"]))
+    cleared = F.size(F.filter("got", lambda g: g["jumlah"] == top)) >= 2
+    out = fn.strict_outcome(F.col("flagged"), F.col("got"), F.col("want"), F.col("l_orderkey") % 29 == 0, total("got") == total("want"), cleared)
+    return graded(spark, d).select("l_orderkey", out.alias("s")).select("l_orderkey", "s.*")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s THEN 'excellent' WHEN c >= 85 AND t >= 80 AND NOT sp THEN 'near_correct' WHEN c >= 70 THEN 'usable_with_edit' WHEN c >= 50 THEN 'partially_usable' WHEN e > 0 AND (sp OR t < 50) THEN 'misleading' ELSE 'broken' END AS tier,
+CAST(CASE WHEN e = w THEN 100 WHEN a AND e = w + 1 THEN 90 ELSE greatest(0, 100 - abs(e - w) * 25) END AS INTEGER) AS counted
+FROM (SELECT l_orderkey, l_linenumber, l_orderkey % 10 = 0 AS s, l_partkey % 101 AS c, l_suppkey % 101 AS t, l_linestatus = 'O' AS sp, CAST(l_quantity AS INTEGER) % 4 AS e, l_linenumber % 4 AS w, l_returnflag = 'A' AS a FROM lineitem)""")
+def suite_of_twelve(spark, d):
+    """Tiers and count scores of the suite of twelve."""
+    li = table(spark, d, "lineitem")
+    entries, want = F.col("l_quantity").cast("int") % 4, F.col("l_linenumber") % 4
+    tier_ = fn.tier_of_twelve(F.col("l_orderkey") % 10 == 0, F.col("l_partkey") % 101, entries, F.col("l_linestatus") == "O", F.lit(False), F.col("l_suppkey") % 101)
+    return li.select("l_orderkey", "l_linenumber", tier_.alias("tier"), fn.count_score_of_twelve(entries, want, F.col("l_returnflag") == "A").cast("int").alias("counted"))

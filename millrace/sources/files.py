@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,9 +49,16 @@ def amount_column(headers: Sequence[str]) -> str | None:
     return next((h for h in headers if h.strip().lower() in AMOUNT_HEADERS), None)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """path and doc (variant) of every readable JSON file of a folder; others are skipped."""
-    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    """path and doc (variant) of every readable JSON file of a folder; others are skipped, a missing folder has none."""
+    if not there(spark, folder):
+        return spark.createDataFrame([], "path string, said string").select("path", F.try_parse_json("said").alias("doc"))
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     doc = files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
     return doc.where(F.col("doc").isNotNull())
 
@@ -151,9 +160,47 @@ def chatml(user: Column, label: Column, system: Column | None = None) -> Column:
     return F.array(*said) if system is None else F.array_compact(F.array(head, *said))
 
 
+#: File names of the splits that have another.
+SPLIT_NAMES = {"eval_iid": "valid", "eval_compositional": "test"}
+
+
+def split_name(split: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for kv in SPLIT_NAMES.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, split), split)
+
+
 def write_splits(df: DataFrame, path: str, order: str) -> None:
-    """One folder per split, rows in order inside each file."""
-    df.repartition("split").sortWithinPartitions(order).write.mode("overwrite").partitionBy("split").json(path)
+    """One folder per split, rows in order inside each file; a large split has many files, by ranges of the order."""
+    named = df.withColumn("split", split_name(F.col("split")))
+    named.repartitionByRange("split", order).sortWithinPartitions("split", order).write.mode("overwrite").partitionBy("split").json(path)
+
+
+def publish(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small text so that readers see the old file or the whole new one: a file beside it, then a rename over it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = to.getFileSystem(conf)
+    out = fs.create(part)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(to), over)
+
+
+def write_run(df: DataFrame, path: str, published: str, stamp: str, order: str, manifest: dict) -> dict[str, int]:
+    """Splits as files, and the manifest (with the rows of each split) beside them, pinned by stamp and as the latest; rows of each split."""
+    spark = df.sparkSession
+    write_splits(df, f"{path}/rows", order)
+    # a run has few splits by nature
+    counts = dict.fromkeys(("train", "valid", "test"), 0) | {r["split"]: r["n"] for r in df.groupBy(split_name(F.col("split")).alias("split")).agg(F.count("*").alias("n")).collect()}
+    text = json.dumps(manifest | {"rows": counts}, indent=2, sort_keys=True)
+    for place in (f"{path}/manifest.json", f"{published}/{stamp}-manifest.json", f"{published}/manifest-latest.json"):
+        publish(spark, text, place)
+    return counts
 
 
 def file_kind(path: Column) -> Column:
@@ -189,6 +236,26 @@ def match_receipts(images: DataFrame, manifest: DataFrame) -> DataFrame:
     return exact.select("path", "vendor", "total").unionByName(by_vendor)
 
 
+#: How far a total that was read may be from the manifest's.
+DRIFT = 5_000
+CONFLICT = r"(?i)conflict|selisih|85000"
+
+
+def settled(path: Column, read: Column, listed: Column, conflict: Column) -> Column:
+    """total and source of an image: the conflict record for a probe, the manifest's total where what was read is missing or too far from it, else what was read."""
+    ok = read > 0
+    far = listed.isNotNull() & (F.abs(read - listed) > DRIFT)
+    total = F.when(path.rlike(CONFLICT), conflict).when(ok & ~far, read).otherwise(listed)
+    source = F.when(path.rlike(CONFLICT), "conflict").when(ok & ~far, "read").when(listed.isNotNull(), "manifest").otherwise("unavailable")
+    return F.struct(total.alias("total"), source.alias("source"))
+
+
+def sidecar_texts(files: DataFrame, texts: DataFrame, default: str) -> DataFrame:
+    """path and value of each file: the text of the file named like it with .txt added, else a given one."""
+    t = texts.select(F.col("path").alias("_txt"), F.col("value"))
+    return files.select("path").join(t, F.concat("path", F.lit(".txt")) == F.col("_txt"), "left").select("path", F.coalesce("value", F.lit(default)).alias("value"))
+
+
 def statement_lines(texts: DataFrame) -> DataFrame:
     """path, tanggal, deskripsi and jumlah of the lines ``DD/MM description Rp n`` of statement texts."""
     line = texts.select("path", F.explode(F.split("value", "\n")).alias("line"))
