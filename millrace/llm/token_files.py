@@ -37,7 +37,7 @@ from .common import open_fs, out_batch, qualified, text_batches, write_file
 MAGIC = b"MRTOKEF1"
 SELECT_EVERY = 256
 SHARD_IDS = 1 << 24
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 
 class EliasFano:
@@ -126,7 +126,7 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 WORD = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 #: Spaces to every regular-expression library, and stretches encoded in one run.
-CUT, RUN = " \n\t\r", 512
+CUT, RUN = " \n\t\r", 2048
 
 
 class WordCache:
@@ -134,14 +134,19 @@ class WordCache:
 
     A text is cut where a space follows a non-space: the byte-level pattern
     always begins a match there, so the stretches' ids in order are the text's.
-    Stretches met before are looked up; the others go to the library, many in
-    one run, whose ids are dealt out again by the bytes they stand for. ``limit`` bounds the entries; beyond it nothing more is kept.
+    A text whose only white space is single spaces and line ends inside is cut by
+    them, and a stretch is known by its word alone, or by the line end and the word.
+    Stretches met before are looked up; the others go to the library, many in one
+    run, whose ids are dealt out again by the bytes they stand for. ``limit`` bounds the entries; what is
+    met beyond it is kept for one run of texts only.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.whole, self.known = Tokenizer.from_file(path), limit, whole, {}
+        self.tok, self.limit, self.whole = Tokenizer.from_file(path), limit, whole
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
         # a byte-level token has one character for each byte it stands for
@@ -155,30 +160,72 @@ class WordCache:
 
     def together(self, parts: list[str]) -> list[bytes]:
         """Packed ids of each part, encoded in one run; each begins with a space and ends with a non-space."""
-        ids = np.array(self.tok.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, self.width)
+        text = "".join(parts)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
         through = self.bytes_of[ids].cumsum()
-        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+        sizes = map(len, parts) if text.isascii() else (len(p.encode("utf-8", "surrogatepass")) for p in parts)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(parts)))
         at = np.searchsorted(through, ends)
         if len(through) == 0 or at[-1] >= len(through) or (through[at] != ends).any():
             return self.raw(parts)  # a part's end inside a token: never where the pattern splits
         data, cuts = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
         return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
+    def learn(self, cache: dict[str, bytes], new: list[str], run, whole=lambda x: x) -> dict[str, bytes]:
+        """Encode the stretches that keys stand for; into the cache while it has room."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(new), RUN):
+            some = new[i : i + RUN]
+            got = dict(zip(some, run([whole(x) for x in some])))
+            out |= got
+            if len(self.words) + len(self.known) < self.limit:
+                cache |= got
+        return out
+
+    def looked_up(self, cache: dict[str, bytes], cut: list[list[str]], encode) -> list[bytes]:
+        """Packed ids of lists of keys: one look-up a key, and the library for those not met before."""
+        keys = list(chain.from_iterable(cut))
+        got = list(map(cache.get, keys))
+        gaps = [i for i, g in enumerate(got) if g is None]
+        if gaps:
+            learned = encode({keys[i] for i in gaps})
+            for i in gaps:
+                got[i] = learned[keys[i]]
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        return [b"".join(got[i:j]) for i, j in zip(ends, ends[1:])]
+
+    def new_words(self, new: set[str]) -> dict[str, bytes]:
+        first = {k for k in new if k[0] == FIRST}
+        rest = self.learn(self.words, list(new - first), self.together, lambda k: k if k[0] == "\n" else " " + k)
+        return rest | self.learn(self.words, list(first), self.raw, lambda k: k[1:])
+
+    def new_stretches(self, new: set[str]) -> dict[str, bytes]:
+        odd = {p for p in new if p[0] not in CUT or p[-1].isspace() or ODD.search(p)}
+        return self.learn(self.known, list(new - odd), self.together) | self.learn(self.known, list(odd), self.raw)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if self.whole:
             return self.raw(texts)
-        known, cut = self.known, [[t] if ODD.search(t) else WORD.findall(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(known)
-        odd = [p for p in new if p[0] not in CUT or p[-1].isspace() or ODD.search(p)]
-        firm = list(new.difference(odd))
-        extra = {}
-        for run, some in [(self.together, firm[i : i + RUN]) for i in range(0, len(firm), RUN)] + [(self.raw, odd[i : i + RUN]) for i in range(0, len(odd), RUN)]:
-            for p, ids in zip(some, run(some)):
-                (known if len(known) < self.limit and len(p) < 64 else extra)[p] = ids
-        if extra:
-            return [b"".join([known[p] if p in known else extra[p] for p in parts]) for parts in cut]
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        plain = [words_of(t) for t in texts]
+        by_word = iter(self.looked_up(self.words, [k for k in plain if k is not None], self.new_words))
+        others = [[t] if ODD.search(t) else WORD.findall(t) for t, k in zip(texts, plain) if k is None]
+        by_stretch = iter(self.looked_up(self.known, others, self.new_stretches))
+        return [next(by_stretch if k is None else by_word) for k in plain]
+
+
+#: Marks the first word of a text among the keys; no such text holds the character.
+FIRST = "\x1c"
+
+
+def words_of(t: str) -> list[str] | None:
+    """Keys of a text's stretches: words after a space, a line end with the word after it, the first word; None for other white space."""
+    lines = t.replace("\n", " \n")
+    if not t or t[0] in " \n" or t[-1] in " \n" or "  " in lines or "\n " in lines or not (t.isprintable() or t.replace("\n", "").isprintable()):
+        return None
+    keys = lines.split(" ")
+    keys[0] = FIRST + keys[0]
+    return keys
 
 
 @lru_cache(maxsize=2)
