@@ -55,7 +55,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(p, SEED) for p in parts), np.uint64)
+    return bits_of(np.fromiter((digest(p, SEED) for p in parts), np.uint64))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """Unsigned fingerprint of hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), BLOCK):
         ones += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -174,31 +178,27 @@ def link_stars(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``root`` for every end of ``edges`` (a, b) that is not its group's smallest.
 
-    Large-star then small-star until a round changes nothing; groups are found
-    by aggregation and joins only.
+    Large-star then small-star until only stars are left: no node with two
+    centres, no centre that is a node. That is one aggregation to see, so edges
+    that are stars from the start cost nothing more. Groups are found by
+    aggregation and joins only, each round written to the shared folder.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-
-    def state(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    seen = state(e)
+    spark, written = edges.sparkSession, []
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        e = materialise(spark, e, "edges", written)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        odd = e.select(ends.alias("x")).groupBy("x.v").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if odd.agg(F.count("*")).first()[0] == 0:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        e = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct().checkpoint()
-        now = state(e)
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-    if seen[0]:
-        raise RuntimeError(f"groups not settled after {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        kept = F.struct("a", F.col("m").alias("b"))
+        up = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = large.join(low, "a").select(F.inline(F.when(F.col("b") != F.col("m"), F.array(kept, up)).otherwise(F.array(kept)))).distinct()
+    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -56,6 +56,32 @@ def test_groups_match_all_pairs(spark, monkeypatch):
     assert kept == set(want)
 
 
+def test_tiles_and_hot_shingles_lose_nothing(spark, monkeypatch):
+    for name, value in (("TILE_ROWS", 3), ("TILE_SHINGLES", 150), ("HOT", 3), ("STAR_ROUNDS", 1)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = texts()
+    for _ in range(40):  # one large group of near copies, many beyond the threshold from each other
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = f"z{rng.randint(0, 10**6)}"
+        rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copies(df).collect()}
+    first = {}
+    for i in range(len(rows)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(rows))] == slow_groups(rows)
+
+
+def test_clashing_columns_stay(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, t, 5, 6, 7, 8, 9), (2, t + " end", 5, 6, 7, 8, 9), (3, "alone here", 5, 6, 7, 8, 9)], "doc_id long, text string, _h int, _id int, h int, sig int, _bucket int")
+    kept = cp.one_of_each(spark, df, "")
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in df.where("doc_id <> 2").collect())
+
+
 def test_empty_table(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
