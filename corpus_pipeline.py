@@ -8,11 +8,11 @@ need a join.  Rows with a null ``doc_id`` are judged by their text like all othe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, near_copies, quality, secrets, winnow
-from millrace.llm.common import scratch, table
+from millrace.llm.common import in_buckets, materialise, scratch, spare, table
 from millrace.llm.queries import id_hash, tokenizer_file
 
 
@@ -29,9 +29,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_copies.near_copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h"))
-    d = docs.withColumn("_h", near_copies.text_hash())
-    return d.join(kept, (d["_h"] == kept["kept_h"]) & d["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    groups = found.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1")
+    groups = materialise(spark, groups.select("component", F.col("first.doc_id").alias("kept_id"), F.col("first.h").alias("kept_h")), "near-groups")
+    h, key = spare(docs, "_h"), spare(docs, "_id")
+    asked = found.join(groups, "component", "left_semi").select(F.col("h").alias(h))
+    kept = groups.select(F.col("kept_h").alias(h), named("kept_id").alias(key))
+    alone = found.join(groups, "component", "left_anti").select(F.col("h").alias(h), named("doc_id").alias(key))
+    d = docs.withColumn(h, near_copies.text_hash()).withColumn(key, named("doc_id"))
+    # rows whose group has one row stay where they are read; only the others meet the rows to keep
+    sure = in_buckets(d, asked, h, inside=False)
+    both = kept.unionByName(in_buckets(alone, asked, h))
+    rest = in_buckets(d, asked, h).join(both, [h, key], "left_semi").dropDuplicates([h, key])
+    return sure.unionByName(rest).drop(h, key)
+
+
+def named(column: str) -> Column:
+    """An id as a key that is never null."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("none"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
