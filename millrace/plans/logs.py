@@ -59,10 +59,18 @@ def artifact_kinds(spark, d):
     return table(spark, d, "events").select("event_id", files.artifact_kind(F.try_parse_json(doc), path).alias("kind"))
 
 
-@query("""SELECT conv_id, bool_or(contains(lower(text), 'the')) AS mentions, NOT bool_or(contains(lower(text), 'zebra')) AS silent, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
+@query("""SELECT conv_id, bool_or(contains(lower(text), 'the ') OR contains(lower(text), 'que')) AS mentions, NOT bool_or(contains(lower(text), 'on') OR contains(lower(text), 'zebra')) AS silent, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 def reply_mentions(spark, d):
-    t = F.lower("text")
-    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.contains(t, F.lit("the"))).alias("mentions"), (~F.max(F.contains(t, F.lit("zebra")))).alias("silent"), F.count("*").alias("turns"))
+    """Does any reply hold any of the phrases, and does none hold any of others?"""
+    t = F.col("text")
+    return table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(ledger_op.mentions(t, ["The ", "que"]).alias("mentions"), (~ledger_op.mentions(t, ["ON", "zebra"])).alias("silent"), F.count("*").alias("turns"))
+
+
+@query("""SELECT user_id, coalesce(bool_or(contains(lower(props), '7') OR contains(lower(props), 'k": 1}')) FILTER (event_type IN ('click', 'view')), false) AS ok FROM events GROUP BY user_id""")
+def sql_mentions(spark, d):
+    """Do the arguments of any database call hold any of the phrases?"""
+    said = F.when(F.col("event_type").isin("click", "view"), F.col("props"))
+    return table(spark, d, "events").groupBy("user_id").agg(ledger_op.mentions(said, ["7", 'K": 1}']).alias("ok"))
 
 
 @query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
@@ -72,13 +80,16 @@ def resume_plan(spark, d):
     return o.join(li, o["o_orderkey"] == li["l_orderkey"], "left_anti").select("o_orderkey")
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) < 300 THEN 'text:short' WHEN k > 1 THEN 'dedup' ELSE 'accepted' END AS phase FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(lower(text)) ORDER BY doc_id) AS k FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN length(text) < 300 THEN 'text:short' WHEN k > 1 THEN 'dedup' WHEN doc_id % 19 = 0 THEN 'text:leak' WHEN doc_id % 23 = 0 THEN 'transport' ELSE 'accepted' END AS phase FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(lower(text)) ORDER BY doc_id) AS k FROM documents)""")
 def reject_split(spark, d):
-    """Accepted and rejected rows with the first phase that failed."""
+    """Accepted and rejected rows with the first phase that failed; errors of no phase are leaks or transport."""
     from millrace.functions.labels import first_phase
+    from millrace.operators.batches import reject_phase
     from millrace.operators.similarity import first_of_each
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     first = first_of_each(docs).select("doc_id", F.lit(True).alias("first"))
     j = docs.join(first, "doc_id", "left")
-    return j.select("doc_id", F.coalesce(first_phase(("text:short", F.length("text") < 300), ("dedup", F.col("first").isNull())), F.lit("accepted")).alias("phase"))
+    phase = first_phase(("text:short", F.length("text") < 300), ("dedup", F.col("first").isNull()))
+    leaked, lost = F.col("doc_id") % 19 == 0, F.col("doc_id") % 23 == 0
+    return j.select("doc_id", F.when(phase.isNotNull() | leaked | lost, reject_phase(phase, leaked)).otherwise("accepted").alias("phase"))

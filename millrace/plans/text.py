@@ -50,7 +50,7 @@ def max_similarity(spark, d):
 
 @query(FEATURES + "SELECT doc_id, item_id, jaccard FROM hit WHERE jaccard >= 0.1")
 def token_jaccard(spark, d):
-    return op.pair_scores(*feature_tables(spark, d)).where("jaccard >= 0.1").select("doc_id", "item_id", "jaccard")
+    return op.token_pairs(*feature_tables(spark, d), 0.1)
 
 
 @query(FEATURES + "SELECT doc_id, item_id, containment FROM hit WHERE containment >= 0.7")

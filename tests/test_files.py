@@ -83,3 +83,24 @@ def test_amounts_in_rows_of_5000(spark):
     cases = [((5000,) * 4, [20000]), ((5000,) * 3, [20000]), ((20000,), [20000, 5000]), ((5000,) * 4, [20000, 7]), ((5000,) * 3, [15000, 5000])]
     row = spark.range(1).select(*(ledger.amounts_ok(have(*h), n).alias(f"c{i}") for i, (h, n) in enumerate(cases))).first()
     assert list(row) == [True, False, True, False, True]
+
+
+def test_amount_column_by_its_header():
+    assert files.amount_column(["Tanggal", " Nominal ", "x"]) == " Nominal " and files.amount_column(["jumlah", "amount"]) == "jumlah" and files.amount_column(["total"]) is None
+
+
+def test_exact_shuffle_of_a_short_list():
+    def draws(seed):
+        state = seed
+        while True:
+            state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+            x = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
+            x ^= (x + ((x ^ x >> 7) * (x | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            yield ((x ^ x >> 14) & 0xFFFFFFFF) / 2**32
+
+    draw, want = draws(42), list(range(20))
+    assert abs(next(draws(42)) - 0.6011037519201636) < 1e-15
+    for i in range(19, 0, -1):
+        j = int(next(draw) * (i + 1)) % (i + 1)
+        want[i], want[j] = want[j], want[i]
+    assert sampling.shuffle_small(list(range(20)), 42) == want
