@@ -9,7 +9,8 @@ The top levels of each tree deal distinct fingerprints to shards: level l
 splits at distance ``CUT`` from its vantage point, and by the triangle bound
 only fingerprints at distance ``CUT + 1`` can link across, so those alone go to
 both sides.  Inside a shard the tree goes on with vantage points and medians
-taken from the data, down to leaves compared bit by bit over all 64 bits.  A
+taken from the data, over the half and, where that no longer splits, over the
+whole fingerprint, down to leaves compared bit by bit over all 64 bits.  A
 shard returns a spanning star of each group it sees, never its pairs, and the
 stars are joined by large-star and small-star rounds on distributed tables.
 
@@ -17,7 +18,8 @@ Exact copies are one fingerprint from the start (partial aggregation), so a
 group of copies of any size is a single row in the search.
 
 Defined cases: null text counts as text without words, whose fingerprint is
-zero; fewer words than a shingle give one shingle of all words; rows with equal
+zero; very long texts count with all their words; other columns are ignored,
+whatever their names; fewer words than a shingle give one shingle of all words; rows with equal
 ``doc_id`` each keep their row; a null ``doc_id`` keeps its row and never names
 a component unless the component has no other; an empty table gives no rows.
 """
@@ -135,21 +137,23 @@ def _compare(fp: np.ndarray, idx: np.ndarray, groups: Groups, radius: int) -> No
 def link_shard(fp: np.ndarray, half: int, radius: int = RADIUS) -> np.ndarray:
     """For each distinct fingerprint of a shard, the row number that leads its group."""
     groups, part = Groups(len(fp)), half_of(fp, half)
-    reach = radius // 2
-    todo = [np.arange(len(fp))]
+    # where the half no longer tells fingerprints apart, the tree goes on over all 64 bits
+    todo = [(np.arange(len(fp)), part, radius // 2)]
     rng = np.random.default_rng(len(fp))
     while todo:
-        idx = todo.pop()
+        idx, space, reach = todo.pop()
         if len(idx) <= LEAF_ROWS:
             _compare(fp, idx, groups, radius)
             continue
-        d = np.bitwise_count(part[idx] ^ part[idx[rng.integers(len(idx))]]).astype(np.int64)
+        d = np.bitwise_count(space[idx] ^ space[idx[rng.integers(len(idx))]]).astype(np.int64)
         m = int(np.median(d))
         inner, outer = idx[d <= m + reach], idx[d > m]
-        if max(len(inner), len(outer)) > 0.95 * len(idx):  # nothing to prune here
+        if max(len(inner), len(outer)) <= 0.95 * len(idx):
+            todo += [(inner, space, reach), (outer, space, reach)]
+        elif space is part:
+            todo.append((idx, fp, radius))
+        else:  # nothing to prune here either
             _compare(fp, idx, groups, radius)
-        else:
-            todo += [inner, outer]
     return groups.label
 
 

@@ -101,3 +101,20 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, j) for j in range(101, 140)] + [(139, 200), (5, 5)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, **{j: 100 for j in range(101, 140)}, 200: 100}
+
+
+def test_a_shard_of_equal_halves_still_splits(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, 900, dtype=np.uint64)
+    near = base[:300] ^ (np.uint64(1) << rng.integers(0, 32, 300).astype(np.uint64))
+    fp = np.unique(np.concatenate([base, near]) << np.uint64(32) | np.uint64(0xABCD1234))
+    most = []
+    compare = simhash._compare
+    monkeypatch.setattr(simhash, "_compare", lambda f, idx, *a: most.append(len(idx)) or compare(f, idx, *a))
+    lead = simhash.link_shard(fp, 0)
+    assert max(most) < len(fp)
+    want = slow_groups([int(x) for x in fp])
+    first = {}
+    for i, g in enumerate(want):
+        first.setdefault(g, i)
+    assert lead.tolist() == [first[g] for g in want]
