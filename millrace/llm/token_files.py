@@ -4,7 +4,8 @@ A file holds the ids of consecutive documents end to end, in 16 or 32 bits
 each, and where every document ends as an Elias-Fano sequence: the low bits of
 each end packed, the high bits as a unary-coded bit vector with a sample of
 select positions.  n ends below U take about ``2 + log2(U / n)`` bits each, and
-one end is read without unpacking the others.
+one end is read without unpacking the others; ``read_tokens`` reads them so.  The
+ascending doc_ids are such a sequence too.
 
 ``write_tokens`` deals documents by ranges of ``doc_id``, sorts inside each
 range and writes one or more files per range, so the files in order of name
@@ -12,7 +13,9 @@ hold all documents in ascending order.  A file has at most ``SHARD_IDS`` ids
 (or one document).  A task that runs again writes other names; only the names
 its successful attempt returned are in the manifest.
 
-Defined cases: null text counts as empty (only the end id); rows with equal
+Defined cases: null text counts as empty (only the end id); very long texts are
+encoded to their end; columns other than ``doc_id`` and ``text`` are ignored,
+whatever their names; rows with equal
 ``doc_id`` each stay, ordered by text; rows with null ``doc_id`` come first;
 an empty table gives no files and no rows.
 """
@@ -34,8 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import open_fs, out_batch, qualified, text_batches, write_file
 
-MAGIC = b"MRTOKEF1"
+MAGIC = b"MRTOKEF2"
 SELECT_EVERY = 256
+#: Documents of a file returned at once.
+DOCS = 4096
 SHARD_IDS = 1 << 24
 CACHE_WORDS = 900_000
 
@@ -80,47 +85,61 @@ class EliasFano:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        low = 0
-        for j in range(self.bits):
-            p = i * self.bits + j
-            low |= (int(self.low[p // 8]) >> (p % 8) & 1) << j
-        return (self.select(i) - i) << self.bits | low
+        p = i * self.bits
+        word = int.from_bytes(self.low[p // 8 : (p + self.bits + 7) // 8].tobytes(), "little") >> p % 8
+        return (self.select(i) - i) << self.bits | word & (1 << self.bits) - 1
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         low = np.unpackbits(self.low, bitorder="little", count=self.n * self.bits).reshape(self.n, self.bits).astype(np.int64)
         return ((ones - np.arange(self.n)) << self.bits) + (low << np.arange(self.bits)).sum(1)
 
+    @staticmethod
+    def width(high_bytes: int) -> int:
+        """Bytes of a sampled place: 4 unless the high bits need more."""
+        return 4 if high_bytes < 1 << 29 else 8
+
     def chunks(self) -> list[bytes]:
         head = struct.pack("<QQQQ", self.n, self.universe, len(self.low), len(self.high))
-        return [head, self.low.tobytes(), self.high.tobytes(), self.sample.astype("<u8").tobytes()]
+        return [head, self.low.tobytes(), self.high.tobytes(), self.sample.astype(f"<u{self.width(len(self.high))}").tobytes()]
 
     @classmethod
     def read(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
         n, universe, a, b = struct.unpack_from("<QQQQ", data, at)
         at += 32
-        s = -(-n // SELECT_EVERY)
+        s, width = -(-n // SELECT_EVERY), cls.width(b)
         low, high = np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)
-        return cls(n, universe, low, high, np.frombuffer(data, "<u8", s, at + a + b)), at + a + b + 8 * s
+        return cls(n, universe, low, high, np.frombuffer(data, f"<u{width}", s, at + a + b)), at + a + b + width * s
+
+
+#: How a file holds its doc_ids: as they are, or as an Elias-Fano sequence from the smallest on.
+PLAIN, SEQUENCE = 0, 1
 
 
 def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """The chunks of a token file. Null doc_ids come first, then ascending ones."""
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     nulls = sum(d is None for d in doc_ids)
-    names = np.array([d for d in doc_ids if d is not None], "<i8")
-    return [MAGIC, struct.pack("<IIQQ", width, 0, len(doc_ids), nulls), names.tobytes(), *EliasFano.encode(ends).chunks(), ids.astype(f"<u{width}").tobytes()]
+    names = [d for d in doc_ids if d is not None]
+    kind = SEQUENCE if names and names[-1] - names[0] < 1 << 62 else PLAIN
+    held = [struct.pack("<q", names[0]), *EliasFano.encode(np.array(names, np.int64) - names[0]).chunks()] if kind else [np.array(names, "<i8").tobytes()]
+    return [MAGIC, struct.pack("<IIQQ", width, kind, len(doc_ids), nulls), *held, *EliasFano.encode(ends).chunks(), ids.astype(f"<u{width}").tobytes()]
 
 
 def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     """doc_ids, where each document ends, and all ids of a token file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    width, _, n, nulls = struct.unpack_from("<IIQQ", data, 8)
+    width, kind, n, nulls = struct.unpack_from("<IIQQ", data, 8)
     at = 8 + 24
-    names = np.frombuffer(data, "<i8", n - nulls, at)
-    ends, at = EliasFano.read(memoryview(data), at + 8 * (n - nulls))
-    return [None] * nulls + names.tolist(), ends, np.frombuffer(data, f"<u{width}", ends.universe, at)
+    if kind == SEQUENCE:
+        (first,) = struct.unpack_from("<q", data, at)
+        held, at = EliasFano.read(memoryview(data), at + 8)
+        names = (held.all() + first).tolist()
+    else:
+        names, at = np.frombuffer(data, "<i8", n - nulls, at).tolist(), at + 8 * (n - nulls)
+    ends, at = EliasFano.read(memoryview(data), at)
+    return [None] * nulls + names, ends, np.frombuffer(data, f"<u{width}", ends.universe, at)
 
 
 WORD = re.compile(r"\s*\S+|\s+")
@@ -313,11 +332,17 @@ def read_tokens(spark: SparkSession, out_uri: str, manifest: list[dict], with_id
                 fs, path = open_fs(f"{out_uri}/{r['file']}")
                 with fs.open_input_stream(path) as f:
                     names, ends, ids = unpack(f.read())
-                ends = ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(starts, ends)]
-                more = {"ids": [ids[i:j].tolist() for i, j in zip(starts, ends)]} if with_ids else {}
-                yield out_batch(schema, doc_id=names, start=pa.array(starts + r["start"]), n_tokens=pa.array(ends - starts), ids_crc32=crc, **more)
+                # a document's place comes from the select structure, one at a time; no table of ends is made
+                for first in range(0, len(names), DOCS):
+                    yield rows_of(names, ends, ids, first, r["start"])
+
+    def rows_of(names, ends: EliasFano, ids: np.ndarray, first: int, base: int) -> pa.RecordBatch:
+        some = range(first, min(first + DOCS, len(names)))
+        places = np.array([ends[first - 1] if first else 0, *(ends[i] for i in some)], np.int64)
+        starts, ends_ = places[:-1], places[1:]
+        crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(starts, ends_)]
+        more = {"ids": [ids[i:j].tolist() for i, j in zip(starts, ends_)]} if with_ids else {}
+        return out_batch(schema, doc_id=[names[i] for i in some], start=pa.array(starts + base), n_tokens=pa.array(ends_ - starts), ids_crc32=crc, **more)
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     rows = spark.createDataFrame([(m["file"], m["start"]) for m in manifest], "file string, start long")

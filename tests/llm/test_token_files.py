@@ -74,3 +74,10 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     manifest = tf.write_tokens(df, str(tmp_path / "none"), PATH)
     assert manifest == [] and tf.read_tokens(spark, str(tmp_path / "none"), manifest).collect() == []
+
+
+def test_doc_ids_as_a_sequence_and_as_they_are():
+    for names in ([-5, -5, 0, 7], [None, -(2**63), 2**63 - 1], [None, None], [2**62, 2**62 + 9]):
+        ends = np.arange(1, len(names) + 1)
+        back, found, ids = tf.unpack(b"".join(tf.pack(names, ends, np.arange(len(names)))))
+        assert back == names and [found[i] for i in range(len(names))] == ends.tolist() and ids.tolist() == list(range(len(names)))
