@@ -10,7 +10,8 @@ those of the whole text, and the join is associative.  Decoding concatenates
 the byte strings of token runs up the same kind of tree.
 
 Defined cases: null text counts as empty (no tokens, hashes of the empty
-string); repeated rows give repeated results; rows keep a null ``doc_id``;
+string); very long texts are encoded to their end, a leaf at a time; an empty table
+gives no rows; repeated rows give repeated results; rows keep a null ``doc_id``;
 columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import out_batch, text_batches
 
-LEAF_CHARS = 8192
-LEAF_TOKENS = 1 << 15
+LEAF_CHARS = 2048
+LEAF_TOKENS = 1 << 10
 #: Spaces to cut before: white space to every regular-expression library.
 CUT = " \n\t\r"
 

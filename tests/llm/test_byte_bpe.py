@@ -48,3 +48,13 @@ def test_documents(spark, whole):
     assert byte_bpe.encode_documents(df.limit(0), PATH, P.PATTERN).collect() == []
     ids = byte_bpe.encode_documents(df.where("doc_id = 5"), PATH, P.PATTERN, with_ids=True).first()["ids"]
     assert ids == whole.encode_ordinary(samples()[5])
+
+
+def test_long_documents_at_the_default_leaf(spark, whole):
+    rng = random.Random(7)
+    bits = ["word", "don't", "42", "é", "漢字", "!?", "x" * 30, "\n", " "]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(n))) for i, n in enumerate((400, 2000, 9000, 40_000))] + [(9, "ab+/9" * 20_000)]
+    assert min(len(t) for _, t in rows[1:]) > byte_bpe.LEAF_CHARS
+    got = {r["doc_id"]: r for r in byte_bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN, with_ids=True).collect()}
+    for i, t in rows:
+        assert got[i]["ids"] == whole.encode_ordinary(t) and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
