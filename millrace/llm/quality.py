@@ -17,8 +17,8 @@ compresses every text to its end.
 Defined cases: null and empty texts have leaning zero and a fixed score; very long
 texts teach and are scored like all others; repeated rows give repeated scores;
 labelled rows that are null or whose document is missing teach nothing; with fewer
-than ``MIN_CLASS`` texts of either class every score is the share of good labels;
-an empty table gives no rows; ``keep_good`` keeps all columns, whatever their
+than ``MIN_CLASS`` texts of either class every score is the share of good labels
+(one half where there is no label, so that nothing is rejected unseen); an empty table gives no rows; ``keep_good`` keeps all columns, whatever their
 names, ``score`` ignores all but ``doc_id`` and ``text``.
 """
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: Column, label: str = "qualit
     spark = docs.sparkSession
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if min(n.get(0, 0), n.get(1, 0)) < MIN_CLASS:
-        share = n.get(1, 0) / max(1, sum(n.values()))
+        share = n.get(1, 0) / sum(n.values()) if n else 0.5
         return Model(weights=(math.log((share + 1e-6) / (1 - share + 1e-6)),))
 
     def cut(batches):

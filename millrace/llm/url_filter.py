@@ -16,7 +16,8 @@ of rules and hot hosts stay spread as they were read.
 Defined cases: a null url or one without ``://`` has empty host and path; an
 empty path fits rules with an empty path only; among rules with equal host and
 path the last given wins; no fitting rule gives null and the default verdict;
-repeated rows and null ``page_id`` keep their rows.
+repeated rows and null ``page_id`` keep their rows; urls may have any length; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

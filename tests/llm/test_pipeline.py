@@ -68,3 +68,34 @@ def test_stages_and_run(spark, tmp_path):
         step = stage(spark, step, d).cache()
     assert sorted(map(str, step.collect())) == sorted(map(str, out.collect()))
     assert cp.ORACLE_SQL is None and len(cp.STAGES) == 5
+
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, _h int, _spans string, y int, score double"
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.run(spark, str(tmp_path))
+    assert out.columns == byte_bpe.SCHEMA.names and out.collect() == []
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, long = some(60), some(60_000)
+    texts = [(1, a), (1, some(40)), (1, a), (2, a + " more"), (3, None), (4, ""), (None, None), (None, some(30)), (5, long), (6, long + " end"), (7, "password: 0a1b2c3d4e5f60718293 " + some(20))]
+    rows = [(i, t, "en", "s", None if t is None else len(t), 1, "x", 2, 0.5) for i, t in texts]
+    spark.createDataFrame(rows, DDL).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, texts[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, d)
+        assert got.columns == docs.columns
+        docs = got.cache()
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:8]) for r in docs.collect())
+    # one of the equal and near texts, each of the different ones under an id, one text without words, no benchmark item
+    assert kept == sorted([("1", a[:8]), ("1", texts[1][1][:8]), ("3", ""), ("5", long[:8]), ("7", "[secret]")])
+    assert sorted(str(r["doc_id"]) for r in cp.run(spark, d).collect()) == ["1", "1", "3", "5", "7"]

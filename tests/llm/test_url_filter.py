@@ -56,3 +56,10 @@ def test_many_nested_rules_in_chunks(spark):
 def test_no_rules_and_no_rows(spark):
     assert run(spark, [(1, "http://a.com/")], []) == [(1, "a.com", "/", None, "allow")]
     assert spark.createDataFrame([], "page_id long, url string").transform(uf.judge).collect() == []
+
+
+def test_long_urls(spark):
+    long = "http://" + "a." * 50_000 + "Example.com/en/" + "x" * 500_000 + "?q"
+    got = uf.judge(spark.createDataFrame([(1, long, "k", 2)], "page_id long, url string, key string, rule int")).first()
+    assert got["host"].endswith("a.example.com") and len(got["path"]) == 500_004 and (got["rule"], got["verdict"]) == ("example.com/en/", "block")
+    assert uf.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
