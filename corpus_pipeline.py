@@ -3,7 +3,13 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; each result is
 written as Parquet and read again for the next.  All but the last return the
 columns of ``docs``.  Rows are filtered where they are read; only near-duplicates
-need a join.  Rows with a null ``doc_id`` are judged by their text like all others.
+need a join.
+
+Defined cases: rows with a null ``doc_id`` are judged by their text like all
+others; of repeated rows one stays, of different texts under one ``doc_id`` each;
+null and empty texts are one near-duplicate group; very long texts are judged
+whole; without labels nothing is rejected; empty tables give no rows; other columns
+of ``docs`` are kept, whatever their names.
 """
 
 from __future__ import annotations
