@@ -12,6 +12,8 @@ from millrace.functions import rng
 from millrace.functions.text import js_round
 
 
+#: Vendors that are sent to all tasks; the parts in which more of them meet a region's cells.
+BROADCAST_VENDORS, VENDOR_WAYS = 500_000, 8
 BUCKETS = 1 << 14
 
 
@@ -169,8 +171,29 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def vendors_for(cells: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Vendors whose range overlaps a cell's band and whose polarity fits; those of the cell's rail if there are any."""
+    """Vendors whose range overlaps a cell's band and whose polarity fits; those of the cell's rail if there are any.
+
+    Whether there are any is found for each kind of cell and, where a ``cell_id``
+    has several, settled on the cells; the pairs, which grow with the product of
+    both tables, are made last and never shuffled. More than ``BROADCAST_VENDORS``
+    vendors meet the cells by a shuffle of both tables, each region in parts.
+    """
     fits = (F.col("lo") < F.col("band_hi")) & (F.col("band_lo") < F.col("hi") + 1) & ((F.col("polarity") == "any") | (F.col("polarity") == F.col("direction")))
-    j = cells.join(vendors, cells["region"] == vendors["v_region"]).where(fits).withColumn("on_rail", F.col("rail") == F.col("v_rail"))
-    any_rail = F.max("on_rail").over(W.partitionBy("cell_id"))
-    return j.withColumn("any_rail", any_rail).where(F.col("on_rail") | ~F.col("any_rail")).drop("any_rail")
+    small = vendors.limit(BROADCAST_VENDORS + 1).count() <= BROADCAST_VENDORS
+    kind = ["region", "band_lo", "band_hi", "direction", "rail"]
+    kinds = cells.select(*kind).distinct()
+    rails = kinds.join(F.broadcast(vendors) if small else vendors, F.col("region") == F.col("v_region")).where(fits).groupBy(*kind).agg(F.max(F.col("rail") == F.col("v_rail")).alias("_any"))
+    rails = rails.select(*(F.col(c).alias(f"_{c}") for c in kind), "_any")
+    same = F.lit(True)
+    for c in kind:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    led = cells.join(rails, same, "left").withColumn("_any", F.max("_any").over(W.partitionBy("cell_id"))).drop(*(f"_{c}" for c in kind))
+    # a vendor is met by its rail, by cells that have any there, and without it, by those that have none
+    ways = 1 if small else VENDOR_WAYS
+    led = led.where(F.col("_any").isNotNull()).withColumn("_on", F.when(F.col("_any"), F.col("rail"))).withColumn("_way", F.pmod(F.xxhash64("cell_id", *kind), F.lit(ways)))
+    met = vendors.withColumn("_met", F.explode(F.array(F.struct(F.lit(True).alias("by"), F.col("v_rail").alias("on")), F.struct(F.lit(False).alias("by"), F.lit(None).cast(vendors.schema["v_rail"].dataType).alias("on")))))
+    met = met.withColumn("_by", F.col("_met.by")).withColumn("_v_on", F.col("_met.on")).drop("_met").withColumn("_v_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    met = F.broadcast(met) if small else met.hint("merge")
+    at = (F.col("region") == F.col("v_region")) & (F.col("_any") == F.col("_by")) & F.col("_on").eqNullSafe(F.col("_v_on")) & (F.col("_way") == F.col("_v_way"))
+    pairs = led.join(met, at).where(fits).withColumn("on_rail", F.col("rail") == F.col("v_rail"))
+    return pairs.drop("_any", "_on", "_way", "_by", "_v_on", "_v_way")

@@ -377,3 +377,27 @@ def test_streams(spark, tmp_path):
     c = log.windowed_counts(stream, "t", ["v"], "1 minute").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     c.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_vendors_match_a_plain_loop(spark, monkeypatch, sent):
+    """Cells with repeated and missing ids, vendors and cells without a rail."""
+    monkeypatch.setattr(sampling, "BROADCAST_VENDORS", sent)
+    rng = random.Random(11)
+    cells = [(rng.choice([None, *range(60)]), rng.choice([1, 2, 3, None]), *rng.choice([(0, 30), (30, 100), (None, 9)]), rng.choice(["in", "out", None]), rng.choice([0, 1, 2, None])) for _ in range(120)]
+    vendors = [(k, rng.choice([1, 2, 4, None]), *(lambda x: (x, x + 5.0))(float(rng.randint(-20, 110))), rng.choice(["any", "in", "out", None]), rng.choice([0, 1, None])) for k in range(90)]
+    C = spark.createDataFrame(cells, "cell_id long, region int, band_lo int, band_hi int, direction string, rail long")
+    V = spark.createDataFrame(vendors, "s_suppkey long, v_region int, lo double, hi double, polarity string, v_rail long")
+    pairs = []
+    for i, region, a, b, way, rail in cells:
+        for k, v_region, lo, hi, polarity, v_rail in vendors:
+            if None not in (region, a, b, lo) and region == v_region and lo < b and a < hi + 1 and (polarity == "any" or polarity is not None and polarity == way):
+                pairs.append((i, k, None if None in (rail, v_rail) else rail == v_rail))
+    told = {i: {p[2] for p in pairs if p[0] == i and p[2] is not None} for i, *_ in pairs}
+    want = [p[:2] for p in pairs if p[2] or told[p[0]] == {False}]
+    assert 30 < len(want) < len(pairs) - 30
+    df = sampling.vendors_for(C, V)
+    assert Counter((r["cell_id"], r["s_suppkey"]) for r in df.collect()) == Counter(want)
+    assert set(df.columns) == {*C.columns, *V.columns, "on_rail"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the pairs are made last
