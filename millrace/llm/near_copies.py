@@ -17,7 +17,9 @@ pairs of a run that are not joined yet.  Runs are streamed in order of their
 shingle, never gathered as arrays; those of the last round over ``TILE_ROWS``
 texts are dealt as tiles that hold every pair once.  Sizes, places in the
 prefixes and a parity sketch of the sets rule pairs out without loss; what is
-left is compared on the whole sets.
+left is compared on the whole sets.  A pair that meets in many runs is made where
+it meets first: where one of the ``BEFORE`` shingles that come before in both
+prefixes is shared, it is left to that run.
 
 Defined cases: null text counts as text without words, and all texts without words
 are one group; fewer words than a shingle give one shingle of all words; very long
@@ -47,6 +49,8 @@ HOT, WAYS = 50, 64
 STAR_ROUNDS = 1
 SKETCH_BITS = 512
 PAIR_BLOCK = 1 << 15
+#: Shingles before a row's own in the prefix by which a run knows the pairs that have met before.
+BEFORE = 8
 #: Texts of a run that are compared in one task; a tile of a larger run holds two blocks of about half as many.
 TILE_ROWS = 8_192
 #: Shingles of a group of candidates that are compared in one task; a tile of a larger one holds two blocks of about so many.
@@ -231,8 +235,14 @@ def vantage_stars(one: DataFrame) -> DataFrame:
     return to.join(by_fp, "fp").where("sig <> b").select(F.col("sig").alias("a"), "b")
 
 
-def cross(sig, n, at, root, block, bits):
-    """Pairs of a tile that may link and aren't joined, a few at a time.
+def met_before(p: np.ndarray, q: np.ndarray, before: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Do both rows of a pair have one of the shingles just before in common? Then an earlier run holds the pair and passes it by the same rules."""
+    same = before[p][:, :, None] == before[q][:, None, :]
+    return (same & known[p][:, :, None] & known[q][:, None, :]).any((1, 2))
+
+
+def cross(sig, n, at, root, block, bits, before, known):
+    """Pairs of a tile that may link, aren't joined and haven't met before, a few at a time.
 
     The texts of the tile's largest group are compared with the others only, and
     texts of one block meet in the tile of that block alone.
@@ -240,7 +250,7 @@ def cross(sig, n, at, root, block, bits):
     groups, inverse, size = np.unique(root, return_inverse=True, return_counts=True)
     main = inverse == size.argmax()
     order = np.argsort(main, kind="stable")  # the others first
-    sig, n, at, root, block, bits = (x[order] for x in (sig, n, at, root, block, bits))
+    sig, n, at, root, block, bits, before, known = (x[order] for x in (sig, n, at, root, block, bits, before, known))
     odd, m, apart = int((~main).sum()), len(sig), bool((block != block[0]).any())
     step = max(1, PAIR_BLOCK // m)
     for i in range(0, odd, step):
@@ -252,17 +262,22 @@ def cross(sig, n, at, root, block, bits):
         p, q = np.nonzero(ok)
         least, p, q = least[p, q], p + i, q + i + 1
         ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= n[p] + n[q] - 2 * least
+        if not ok.any():
+            continue
+        p, q = p[ok], q[ok]
+        ok = ~met_before(p, q, before, known)
         if ok.any():
             yield sig[p[ok]], sig[q[ok]]
 
 
 def crossed(runs: DataFrame, one: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``root``: distinct pairs of the runs that may link and aren't joined yet, and the first shingle that they meet in."""
+    """``a``, ``b``, ``root``: distinct pairs of the runs that may link and aren't joined yet, and a shingle that they meet in."""
     ways = runs.groupBy("token").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("ways"))
     own = F.pmod(F.xxhash64("sig"), F.col("ways")).cast("int")
     tiles = F.when(F.col("ways") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("ways") - 1), lambda o: F.least(own, o).cast("long") * F.col("ways") + F.greatest(own, o)))
-    # a small table of sketches by set meets the rows before they are dealt to tiles
-    rows = runs.join(ways, "token").join(one.select("sig", "bits"), "sig").select("token", F.explode(tiles).alias("tile"), "sig", "n", "at", "root", own.alias("block"), "bits")
+    # a small table of sketches and prefixes by set meets the rows before they are dealt to tiles
+    before = F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    rows = runs.join(ways, "token").join(one.select("sig", "bits", "prefix"), "sig").select("token", F.explode(tiles).alias("tile"), "sig", "n", "at", "root", own.alias("block"), "bits", before.alias("before"))
     dealt = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("root", pa.int64())])
 
@@ -287,9 +302,12 @@ def crossed(runs: DataFrame, one: DataFrame) -> DataFrame:
         cuts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]), True])
         sig, n, at, root, block = (b.column(i).to_numpy().astype(np.int64) for i in range(2, 7))
         bits = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+        known = np.arange(BEFORE)[None, :] < b.column(8).value_lengths().to_numpy()[:, None]
+        before = np.zeros((b.num_rows, BEFORE), np.int64)
+        before[known] = b.column(8).flatten().to_numpy()
         for i, j in zip(cuts, cuts[1:]):
             if j - i > 1:
-                for x, y in cross(*(v[i:j] for v in (sig, n, at, root, block, bits))):
+                for x, y in cross(*(v[i:j] for v in (sig, n, at, root, block, bits, before, known))):
                     yield out_batch(schema, a=np.minimum(x, y), b=np.maximum(x, y), root=np.full(len(x), t[i]))
 
     return dealt.mapInArrow(run, "a long, b long, root long").groupBy("a", "b").agg(F.min("root").alias("root"))
@@ -375,7 +393,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     order = frequent(docs, shingle)
     keys = kept(keyed(docs, order, shingle), "keys")
-    one = kept(keys.where("n is not null").groupBy("sig").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("fp").alias("fp")), "sigs")
+    one = kept(keys.where("n is not null").groupBy("sig").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "sigs")
     runs = kept(shared(keys, order), "runs")
     edges = root = None
     for star in [*range(STAR_ROUNDS), None]:

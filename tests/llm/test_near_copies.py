@@ -75,6 +75,27 @@ def test_tiles_and_hot_shingles_lose_nothing(spark, monkeypatch):
     assert [first[got[i]] for i in range(len(rows))] == slow_groups(rows)
 
 
+def test_pairs_are_made_where_they_meet_first():
+    """Texts that share their whole prefixes make each pair in the first run only, and every pair is made in some run."""
+    import numpy as np
+
+    rng, made, met = np.random.default_rng(8), [], set()
+    sets = [np.sort(rng.choice(60, 40, replace=False)).astype(np.int64) for _ in range(12)] + [np.arange(40)] * 3
+    runs = {t: [(k, int(np.flatnonzero(s == t)[0])) for k, s in enumerate(sets) if t in s] for t in range(60)}
+    for run in runs.values():
+        k, at = (np.array(x, np.int64) for x in zip(*run))
+        known = np.arange(near_copies.BEFORE)[None, :] < np.minimum(at, near_copies.BEFORE)[:, None]
+        before = np.zeros(known.shape, np.int64)
+        for i, (x, place) in enumerate(run):
+            own = sets[x][max(0, place - near_copies.BEFORE) : place]
+            before[i, : len(own)] = own
+        # sizes that rule no pair out
+        for x, y in near_copies.cross(k, np.full(len(k), 10**6), at, k, np.zeros(len(k), np.int64), np.zeros((len(k), 8), np.uint64), before, known):
+            made += [frozenset(p) for p in zip(x.tolist(), y.tolist())]
+        met |= {frozenset((a, b)) for a, _ in run for b, _ in run if a != b}
+    assert set(made) == met and len(made) == len(met)
+
+
 def test_clashing_columns_stay(spark):
     t = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, t, 5, 6, 7, 8, 9), (2, t + " end", 5, 6, 7, 8, 9), (3, "alone here", 5, 6, 7, 8, 9)], "doc_id long, text string, _h int, _id int, h int, sig int, _bucket int")
