@@ -14,6 +14,8 @@ from millrace.functions.text import js_round
 
 #: Vendors that are sent to all tasks; the parts in which more of them meet a region's cells.
 BROADCAST_VENDORS, VENDOR_WAYS = 500_000, 8
+#: Cells of one kind that meet vendors as one block; those of a kind that are numbered in one task; pairs that a task may make, and tasks.
+BLOCK_CELLS, NUMBERED_CELLS, TASK_PAIRS, MOST_TASKS = 256, 1 << 15, 50_000_000, 10_000
 BUCKETS = 1 << 14
 
 
@@ -174,26 +176,44 @@ def vendors_for(cells: DataFrame, vendors: DataFrame) -> DataFrame:
     """Vendors whose range overlaps a cell's band and whose polarity fits; those of the cell's rail if there are any.
 
     Whether there are any is found for each kind of cell and, where a ``cell_id``
-    has several, settled on the cells; the pairs, which grow with the product of
-    both tables, are made last and never shuffled. More than ``BROADCAST_VENDORS``
-    vendors meet the cells by a shuffle of both tables, each region in parts.
+    has several, settled on the cells. Cells of one kind then meet vendors in
+    blocks of ``BLOCK_CELLS``; pairs, which grow with the product of both tables,
+    are made from them last and never shuffled. A vendor's pairs with a block
+    follow each other and the next vendor repeats the same cells, so that written
+    pairs take little room. More than ``BROADCAST_VENDORS`` vendors meet the
+    blocks by a shuffle of both, each region in parts.
     """
     fits = (F.col("lo") < F.col("band_hi")) & (F.col("band_lo") < F.col("hi") + 1) & ((F.col("polarity") == "any") | (F.col("polarity") == F.col("direction")))
     small = vendors.limit(BROADCAST_VENDORS + 1).count() <= BROADCAST_VENDORS
     kind = ["region", "band_lo", "band_hi", "direction", "rail"]
-    kinds = cells.select(*kind).distinct()
-    rails = kinds.join(F.broadcast(vendors) if small else vendors, F.col("region") == F.col("v_region")).where(fits).groupBy(*kind).agg(F.max(F.col("rail") == F.col("v_rail")).alias("_any"))
-    rails = rails.select(*(F.col(c).alias(f"_{c}") for c in kind), "_any")
+    kinds = cells.groupBy(*kind).agg(F.count("*").alias("_n"))
+    rails = kinds.join(F.broadcast(vendors) if small else vendors, F.col("region") == F.col("v_region")).where(fits).groupBy(*kind, "_n").agg(F.max(F.col("rail") == F.col("v_rail")).alias("_any"))
+    rails = rails.select(*(F.col(c).alias(f"_{c}") for c in kind), "_any", "_n")
     same = F.lit(True)
     for c in kind:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     led = cells.join(rails, same, "left").withColumn("_any", F.max("_any").over(W.partitionBy("cell_id"))).drop(*(f"_{c}" for c in kind))
+    # a kind without _n has no vendor that fits
+    led = led.where(F.col("_any").isNotNull() & F.col("_n").isNotNull()).withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("_n") / NUMBERED_CELLS)))
+    own, key = [c for c in cells.columns if c not in kind], [*kind, "_any", "_part"]
+    order = F.xxhash64(*(c for c, t in cells.dtypes if "map<" not in t))  # rows that tie are alike
+    led = led.withColumn("_block", F.floor((F.row_number().over(W.partitionBy(*key).orderBy("cell_id", order)) - 1) / BLOCK_CELLS))
+    blocks = led.groupBy(*key, "_block").agg(F.collect_list(F.struct(*own)).alias("_cells"))
     # a vendor is met by its rail, by cells that have any there, and without it, by those that have none
     ways = 1 if small else VENDOR_WAYS
-    led = led.where(F.col("_any").isNotNull()).withColumn("_on", F.when(F.col("_any"), F.col("rail"))).withColumn("_way", F.pmod(F.xxhash64("cell_id", *kind), F.lit(ways)))
+    if small:
+        blocks = blocks.repartitionByRange(_tasks(cells, vendors), *key, "_block")
+    blocks = blocks.withColumn("_on", F.when(F.col("_any"), F.col("rail"))).withColumn("_way", F.pmod(F.xxhash64(*key, "_block"), F.lit(ways)))
     met = vendors.withColumn("_met", F.explode(F.array(F.struct(F.lit(True).alias("by"), F.col("v_rail").alias("on")), F.struct(F.lit(False).alias("by"), F.lit(None).cast(vendors.schema["v_rail"].dataType).alias("on")))))
     met = met.withColumn("_by", F.col("_met.by")).withColumn("_v_on", F.col("_met.on")).drop("_met").withColumn("_v_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     met = F.broadcast(met) if small else met.hint("merge")
     at = (F.col("region") == F.col("v_region")) & (F.col("_any") == F.col("_by")) & F.col("_on").eqNullSafe(F.col("_v_on")) & (F.col("_way") == F.col("_v_way"))
-    pairs = led.join(met, at).where(fits).withColumn("on_rail", F.col("rail") == F.col("v_rail"))
-    return pairs.drop("_any", "_on", "_way", "_by", "_v_on", "_v_way")
+    pairs = blocks.join(met, at).where(fits).withColumn("on_rail", F.col("rail") == F.col("v_rail")).withColumn("_cell", F.explode("_cells"))
+    return pairs.select(*(F.col(c) if c in kind else F.col("_cell")[c].alias(c) for c in cells.columns), *vendors.columns, "on_rail")
+
+
+def _tasks(cells: DataFrame, vendors: DataFrame) -> int:
+    """Tasks that make all pairs, by the most pairs that the regions can have."""
+    by = cells.groupBy("region").count().alias("x").join(vendors.groupBy("v_region").count().alias("y"), F.col("region") == F.col("v_region"))
+    most = by.agg(F.sum(F.col("x.count").cast("double") * F.col("y.count"))).first()[0] or 0
+    return int(min(MOST_TASKS, max(2 * cells.sparkSession.sparkContext.defaultParallelism, most // TASK_PAIRS + 1)))

@@ -401,3 +401,27 @@ def test_vendors_match_a_plain_loop(spark, monkeypatch, sent):
     assert set(df.columns) == {*C.columns, *V.columns, "on_rail"}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")  # the pairs are made last
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_vendor_pairs_take_little_room(spark, monkeypatch, tmp_path, sent):
+    """Pairs in many blocks and parts are those of a plain loop; written, they take under half a byte each."""
+    monkeypatch.setattr(sampling, "BROADCAST_VENDORS", sent)
+    monkeypatch.setattr(sampling, "NUMBERED_CELLS", 60, raising=False)
+    rng = random.Random(5)
+    cells = [(i, i % 2, *rng.choice([(0, 30), (30, 100)]), rng.choice(["in", "out"]), rng.choice([0, 1]), f"name {i}") for i in range(2000)]
+    vendors = [(k, k % 2, *(lambda x: (x, x + 5.0))(float(rng.randint(-20, 110))), rng.choice(["any", "in", "out"]), rng.choice([0, 1, 2])) for k in range(1500)]
+    rng.shuffle(cells)
+    C = spark.createDataFrame(cells, "cell_id long, region int, band_lo int, band_hi int, direction string, rail long, name string")
+    V = spark.createDataFrame(vendors, "s_suppkey long, v_region int, lo double, hi double, polarity string, v_rail long")
+    want = set()
+    for i, region, a, b, way, rail, _ in cells:
+        fit = [(i, k, v_rail == rail) for k, v_region, lo, hi, polarity, v_rail in vendors if region == v_region and lo < b and a < hi + 1 and polarity in ("any", way)]
+        want |= {x[:2] for x in fit if x[2] or not any(y[2] for y in fit)}
+    df = sampling.vendors_for(C, V)
+    df.select("cell_id", "s_suppkey").write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs")).toPandas()
+    assert len(got) == len(want) > 100_000 and set(zip(got["cell_id"].tolist(), got["s_suppkey"].tolist())) == want
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < len(want) / 2
+    odd = df.where("name <> concat('name ', cell_id) or region <> v_region or region <> cell_id % 2 or on_rail <> (rail = v_rail)")
+    assert odd.count() == 0
